@@ -21,7 +21,7 @@ from siftwright.session import fresh_path, materialise
 
 DIM, LINKS, EARLY, LANDMARKS = 64, 24, 8, 32
 SEGMENT_ROWS, CHUNK_ROWS = 20_000, 20_000
-BEAMS, TARGET, TUNING_QUERIES = (32, 64, 128, 256, 512), 0.98, 1000
+BEAMS, TARGET, TUNING_QUERIES = (32, 64, 128, 256), 0.98, 300
 LIKE, SHIFT = 0.75, 6  # least similarity of the texts around; how far a turn may have moved
 CLOSE = 0.55  # cosine above which a neighbour may be the same sighting; the beam must not miss these
 WINDOW = 32  # turns in a route; a row near a window's edge is also looked up in the next one
@@ -45,7 +45,7 @@ def settled_path(path: Column) -> tuple[Column, Column]:
     inside = F.regexp_extract(p, r"(?:^|/)(?:home|users)/([^/]+)/(.+)$", 2)
     user = F.regexp_extract(p, r"(?:^|/)(?:home|users)/([^/]+)/(.+)$", 1)
     rest = F.regexp_replace(p, r"^(~|/mnt/[^/]+|/archive|/private|/backup)+/", "/")
-    return F.nullif(user, F.lit("")), F.ltrim(F.lit("/"), F.when(inside != "", inside).otherwise(rest))
+    return F.nullif(user, F.lit("")), F.regexp_replace(F.when(inside != "", inside).otherwise(rest), "^/+", "")
 
 
 def settled_excerpt(excerpt: Column) -> Column:
@@ -169,6 +169,8 @@ class SmallWorld:
             ok = (near >= 0) & (near - start[live, None] < known[live, None])
             ok &= ~(near[:, :, None] == ids[live][:, None, :]).any(2)
             s = np.einsum("qd,qmd->qm", q[live], self.x[near])
+            # only what betters the beam enters it: what was put out, ties too, never comes back, so the walk ends
+            ok &= s > sims[live].min(1, keepdims=True)
             s[~ok] = -np.inf
             all_ids = np.concatenate([ids[live], np.where(ok, near, -1)], 1)
             all_sims = np.concatenate([sims[live], s], 1)
