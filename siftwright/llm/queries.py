@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.llm import conversations, history_index, packing, splitting, tokenization
+from siftwright.llm import conversations, history_index, packing, pii, splitting, subjects, tokenization
 from siftwright.session import read_table
 
 
@@ -29,6 +29,18 @@ def p4_found(spark, folder):
     return history_index.replay(read_table(spark, folder, "findings"))
 
 
+def _personal(spark, folder):
+    return [read_table(spark, folder, t) for t in ("turns", "messages", "context_corpus")]
+
+
+def p7_found(spark, folder):
+    return pii.found(*_personal(spark, folder))
+
+
+def p7_redacted(spark, folder):
+    return pii.redacted(*_personal(spark, folder))
+
+
 def p8_ids(spark, folder):
     return tokenization.encode_corpus(read_table(spark, folder, "documents"))
 
@@ -41,6 +53,14 @@ def p9_containers(spark, folder):
     return packing.pack(tokenization.token_counts(read_table(spark, folder, "documents")))
 
 
+def p10_found(spark, folder):
+    return subjects.subjects_of(read_table(spark, folder, "documents"), read_table(spark, folder, "doc_labels"))
+
+
+def p10_composition(spark, folder):
+    return subjects.composition(p10_found(spark, folder), read_table(spark, folder, "documents"))
+
+
 def queries():
     return {
         "p1_found": p1_found,
@@ -48,9 +68,13 @@ def queries():
         "p2_found": p2_found,
         "p2_conversations": p2_conversations,
         "p4_found": p4_found,
+        "p7_found": p7_found,
+        "p7_redacted": p7_redacted,
         "p8_ids": p8_ids,
         "p8_texts": p8_texts,
         "p9_containers": p9_containers,
+        "p10_found": p10_found,
+        "p10_composition": p10_composition,
     }
 
 
