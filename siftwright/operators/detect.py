@@ -44,7 +44,10 @@ def chunk(turns: DataFrame, window: int = 4096, stride: int = 2048) -> DataFrame
     def run(batches):
         for pdf in batches:
             rows = [(i, n, a, t) for i, c in enumerate(pdf["content"]) if c for n, a, t in cuts(c.encode())]
+            if not rows:
+                continue
             out = pdf.iloc[[r[0] for r in rows]].reset_index(drop=True)
+            out = out.astype({c: object for c in out.columns if out[c].dtype.kind not in "biufM"})
             out["chunk_idx"], out["chunk_start"], out["content"] = ([r[k] for r in rows] for k in (1, 2, 3))
             yield out
 

@@ -276,7 +276,7 @@ def oracle_sql():
         "mask": "'[REDACTED]'",
         "partial": "substr(raw, 1, 6) || '[REDACTED]'",
         "mask_with_type": "'[REDACTED:' || det || ']'",
-        "vault_ref": "'${VAULT:' || det || '_' || row_number() OVER (PARTITION BY det ORDER BY file_path, turn_idx) || '}'",
+        "vault_ref": "'${VAULT:' || det || '_' || row_number() OVER (PARTITION BY det, raw IS NULL ORDER BY file_path, turn_idx) || '}'",
         "hash": f"'[sha256:' || substr(sha256(unhex('{bytes(b ^ 0x5C for b in SALT.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in SALT.ljust(64, bytes(1))).hex()}') || encode(raw)))), 1, 8) || ']'",
     }
     redacted = {
@@ -298,9 +298,10 @@ regexp_replace(right(pre, 30) || '[FP:' || fingerprint || ']' || left(post, 30),
         "decoded_findings": _PLANTED
         + f"""SELECT file_path, turn_idx, 'github_pat_classic' AS detector_id, CASE turn_idx % 4 WHEN 2 THEN 'base64' ELSE 'hex' END AS via, CAST(4 AS BIGINT) AS byte_start, CAST(44 AS BIGINT) AS byte_end,
 {_fp("'ghp_' || substr(k || k, 1, 36)", "'github_pat_classic'", 'file_path', 'turn_idx')} AS fingerprint FROM planted WHERE turn_idx % 4 >= 2""",
-        "cross_turn_findings": f"""WITH t AS (SELECT DISTINCT file_path, turn_idx, md5(file_path || '/' || (turn_idx // 2)::VARCHAR) AS k FROM turns WHERE content IS NOT NULL)
-SELECT b.file_path, b.turn_idx, a.turn_idx AS prev_turn, {_fp("'ghp_' || substr(b.k || b.k, 1, 36)", "'github_pat_classic'", 'b.file_path', 'b.turn_idx')} AS fingerprint
-FROM t a JOIN t b ON a.file_path = b.file_path AND b.turn_idx = a.turn_idx + 1 WHERE a.turn_idx % 2 = 0""",
+        "cross_turn_findings": f"""WITH d AS (SELECT DISTINCT file_path, turn_idx, md5(file_path || '/' || (turn_idx // 2)::VARCHAR) AS k FROM turns WHERE content IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY turn_idx) AS n FROM d)
+SELECT DISTINCT b.file_path, b.turn_idx, a.turn_idx AS prev_turn, {_fp("left('ghp_' || substr(a.k || a.k, 1, 36), 16) || substr('ghp_' || substr(b.k || b.k, 1, 36), 17)", "'github_pat_classic'", 'b.file_path', 'b.turn_idx')} AS fingerprint
+FROM t a JOIN t b ON a.file_path = b.file_path AND b.n - a.n BETWEEN 1 AND 3 WHERE a.turn_idx % 2 = 0 AND b.turn_idx % 2 = 1""",
         "context_signals": _edu(),
         "entropy_scores": f"SELECT id, round({_entropy_sql('fingerprint')}, 6) AS entropy FROM findings WHERE fingerprint IS NOT NULL",
         "checksum_checks": "WITH d AS (SELECT o_orderkey, (o_orderkey * 7919 + 4000000000000)::VARCHAR AS raw FROM orders) SELECT o_orderkey, (list_sum(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(raw[len(raw) - i + 1] AS INT) ELSE (CAST(raw[len(raw) - i + 1] AS INT) * 2) // 10 + (CAST(raw[len(raw) - i + 1] AS INT) * 2) % 10 END)) % 10) = 0 AS luhn FROM d",
