@@ -130,7 +130,7 @@ def decode_corpus(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str =
     """
     table = F.broadcast(token_table(encoded.sparkSession, name, folder))
     rows = encoded.select("doc_id", "ids").distinct().withColumn("h", F.xxhash64("ids"))
-    places = rows.select("doc_id", "h", F.posexplode("ids").alias("p", "id")).join(table, "id")
-    joined = places.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("p", "piece"))).alias("w"))
+    places = rows.select("doc_id", "h", F.col("ids").isNull().alias("none"), F.posexplode_outer("ids").alias("p", "id")).join(table, "id", "left")
+    joined = places.groupBy("doc_id", "h").agg(F.max("none").alias("none"), F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("p", "piece")))).alias("w"))
     text = F.decode(F.unhex(F.array_join(F.transform("w", lambda x: x["piece"]), "")), "UTF-8")
-    return rows.join(joined, ["doc_id", "h"], "left").select("doc_id", F.when(F.col("ids").isNotNull(), F.coalesce(text, F.lit(""))).alias("text"))
+    return joined.select("doc_id", F.when(~F.col("none"), text).alias("text"))
