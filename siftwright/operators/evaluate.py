@@ -49,3 +49,11 @@ def binary_scores(classified: DataFrame, positive: str = "real_paste") -> DataFr
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(1.0)
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(1.0)
     return n.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), ((p >= 0.90) & (r >= 0.85)).alias("passed"))
+
+
+def markdown(scores: DataFrame) -> DataFrame:
+    """`line`: a row of a Markdown table per class, sorted, the total last; numbers with four decimals."""
+    n = lambda c: F.format_string("%.4f", c)
+    name = F.coalesce("class", F.lit("all"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", name, "tp", "fp", "fn", n("precision"), n("recall"), n("f1")), F.lit(" |"))
+    return scores.orderBy(F.col("class").asc_nulls_last()).select(line.alias("line"))

@@ -245,8 +245,19 @@ def precision_recall(spark, folder):
     return evaluate.precision_recall(*_labelled(spark, folder))
 
 
+def corpus_scores(spark, folder):
+    """Precision and recall of the rules on the generated corpus."""
+    from siftwright.sources import corpus
+
+    made = corpus.generate(spark, 20_000)
+    labels = made.select("entry", F.posexplode("labels").alias("label_no", "l")).select("entry", "l.class", F.col("label_no").cast("long").alias("label_no"), "l.start", "l.end")
+    f = detect.detect(corpus.as_turns(made)).where(F.col("detector_id").isin(*corpus.SHAPES))
+    guesses = f.select(F.col("file_path").alias("entry"), F.col("detector_id").alias("class"), F.col("byte_start").cast("long").alias("pred_no"), F.col("byte_start").cast("long").alias("start"), F.col("byte_end").alias("end"))
+    return evaluate.precision_recall(labels, guesses)
+
+
 def queries():
-    names = [finding_counts, turn_findings, planted_findings, decoded_findings, cross_turn_findings, full_scan, chunks, context_signals, context_class, context_scores, entropy_scores, checksum_checks, fingerprints, merge_spans, scan_totals, global_totals, recent_scans, findings_for_scan, history_filter, suppression_flags, results_view, recovery_sweep, report_human, report_json, report_sarif_rules, report_sarif, precision_recall]
+    names = [finding_counts, turn_findings, planted_findings, decoded_findings, cross_turn_findings, full_scan, chunks, context_signals, context_class, context_scores, entropy_scores, checksum_checks, fingerprints, merge_spans, scan_totals, global_totals, recent_scans, findings_for_scan, history_filter, suppression_flags, results_view, recovery_sweep, report_human, report_json, report_sarif_rules, report_sarif, precision_recall, corpus_scores]
     return {f.__name__: f for f in names} | {f"redact_{m}": _redacted(m) for m in redact.MODES}
 
 

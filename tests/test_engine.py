@@ -128,6 +128,22 @@ def test_evaluation(spark):
     assert got == {"c": (2, 1, 0), "d": (0, 0, 1), None: (2, 1, 1)}
 
 
+def test_generated_corpus_meets_the_gates(spark):
+    from siftwright.sources import corpus
+
+    made = corpus.generate(spark, 400).collect()
+    assert {r.bucket for r in made} == set(corpus.MIX)
+    for r in made:
+        for k in r.labels:
+            assert r.text.encode()[k.start : k.end].decode().startswith(corpus.SHAPES[k["class"]][0])
+    labels = [(r.entry, k["class"], i, k.start, k.end) for r in made for i, k in enumerate(r.labels)]
+    found = D.detect(corpus.as_turns(corpus.generate(spark, 400))).where(F.col("detector_id").isin(*corpus.SHAPES))
+    guesses = found.select(F.col("file_path").alias("entry"), F.col("detector_id").alias("class"), "byte_start", "byte_end")
+    assert {(e, c, a, b) for e, c, _, a, b in labels} == {tuple(r) for r in guesses.collect()}
+    scores = spark.createDataFrame([("c", 1, 0, 0, 1.0, 1.0, 1.0), (None, 1, 0, 0, 1.0, 0.5, 2 / 3)], "class string, tp long, fp long, fn long, precision double, recall double, f1 double")
+    assert [r.line for r in evaluate.markdown(scores).collect()] == ["| c | 1 | 0 | 0 | 1.0000 | 1.0000 | 1.0000 |", "| all | 1 | 0 | 0 | 1.0000 | 0.5000 | 0.6667 |"]
+
+
 def test_parsers(spark, tmp_path):
     session = [{"type": "user", "sessionId": "s", "timestamp": 5, "message": {"role": "user", "content": "hi"}}, {"type": "summary"}, {"type": "assistant", "message": {"content": [{"type": "text", "text": "a"}, {"type": "tool_use", "name": "t", "input": {"b": 1, "a": 2}}, {"type": "image"}]}}]
     (tmp_path / "a.jsonl").write_text(json.dumps(session[0]) + "\n{broken\n\n" + json.dumps(session[1]) + "\n" + json.dumps(session[2]))
