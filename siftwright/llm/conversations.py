@@ -35,6 +35,7 @@ from siftwright.session import fresh_path, materialise
 KEPT = "kept"
 # a message reaches the state as one JSON digest: [node, parent, children, speaker, visible, clock, rows announced]
 EVENTS = "conversation_id string, digest string, event_time timestamp"
+REPLAY_TIME = 4_102_444_800  # seconds; the one event time of all rows of a replayed table (any time after the epoch)
 VERDICTS = "conversation_id string, verdict string, node_ids array<string>"
 
 
@@ -155,7 +156,10 @@ def verdicts(messages: DataFrame, local_rows: int = LOCAL_ROWS, max_bytes: int =
     The table is written to the shared folder by conversation, with the number
     of rows of each, so every conversation closes in the micro-batch that
     brings its last row and the state stays small; a micro-batch takes
-    `max_bytes`. Conversations of more than `local_rows` rows are never put
+    `max_bytes`. A table is whole, so no row of it is late: all carry one event
+    time, which the watermark never passes, however many micro-batches there
+    are (loaded_at would, as the files are not in its order; rows at the epoch
+    would be late from the start). Conversations of more than `local_rows` rows are never put
     into one state: they are judged by joins (see judge_large).
     """
     spark = messages.sparkSession
@@ -168,7 +172,8 @@ def verdicts(messages: DataFrame, local_rows: int = LOCAL_ROWS, max_bytes: int =
         events = events.join(big, "conversation_id", "left_anti")
     counts = F.expr("count(*) OVER (PARTITION BY conversation_id)")
     source, sink, log = (fresh_path(spark, x) for x in ("events", "verdicts", "stream-log"))
-    events.select("conversation_id", digest(counts).alias("digest"), "event_time").write.parquet(source)
+    now = F.timestamp_seconds(F.lit(REPLAY_TIME))
+    events.select("conversation_id", digest(counts).alias("digest"), now.alias("event_time")).write.parquet(source)
     stream = spark.readStream.schema(EVENTS).option("maxBytesPerTrigger", max_bytes).parquet(source)
     query = rebuild(stream, delay).writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

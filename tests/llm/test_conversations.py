@@ -61,3 +61,20 @@ def test_stream_buffers_late_rows_and_times_out(spark, tmp_path):
     query().awaitTermination()
     got = {r.conversation_id: r.verdict for r in spark.read.schema(C.VERDICTS).parquet(str(tmp_path / "out")).collect()}
     assert got == {"good": "kept", "open": "unanswered"}
+
+
+def test_replay_in_several_micro_batches_loses_no_row(spark):
+    """Load times spread over a year, in no order of the files, and one without: each conversation gets its verdict."""
+    rows = []
+    for i in range(48):
+        at = T0 + datetime.timedelta(days=8 * i) if i else None
+        rows += [(*r[:8], at, r[9]) for r in chain(f"c{i}", ("user", "q"), ("assistant", "a"))]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "6")  # six files, a micro-batch each
+        got = {r.conversation_id: r.verdict for r in C.verdicts(spark.createDataFrame(rows, SCHEMA), max_bytes=1).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {f"c{i}": "kept" for i in range(48)}
