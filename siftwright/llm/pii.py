@@ -12,6 +12,7 @@ sample of texts whose clear cases are labelled by context rules.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -24,7 +25,8 @@ from siftwright.operators.hierarchy import place_orphans
 
 LABELS = ("none", "email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in LABELS[1:]}
-TRAIN_TEXTS, LEXICON_TEXTS = 6000, 24_000  # texts that the field and its lexicon are fitted on, the first by a hash of the text
+TRAIN_TEXTS = 6000  # texts that the field is fitted on, the first by a hash of the text
+COMMON_RATE = 12 / 24_000  # share of the texts that hold an everyday word
 BUCKETS = 1 << 15
 
 _LATIN = "A-Za-z0-9_\u00c0-\u024f"  # scripts without spaces may stand right beside a span
@@ -49,11 +51,12 @@ _STREETS = (
 _ID_WORDS = re.compile(r"\b(?:ssn|social security|dni|nie|nif|sozialversicherung|social_security|passport|pasaporte|reisepass|licen[cs]e|licencia|führerschein|steuer-?id|tax[ _-]?id|national[ _-]?id|nacional|identity|identidad|personalausweis|ausweis|insurance n|citizen|id[ _-]?(?:card|number|no|nummer))", re.I)
 _PHONE_WORDS = re.compile(r"\b(?:tel|tfno|phone|call|text|whatsapp|mobile|cell|fax|handy|ruf|telefon|teléfono|llám|my number|picks up at|contact|contacto|sms|reach me)", re.I)
 _OTHER_WORDS = re.compile(r"\b(?:ticket|order|range|chapter|section|page|line|column|build|hash|sha|md5|digest|route|iso|version|answered|commit|row|step|port|seed|port|pins|serial|invoice no|model|account|iban|card|tracking|isbn)\b", re.I)
-_NAME_CUE = re.compile(
-    r"(?:\b(?:my name is|name is|i'm|i am|according to|told|letter out to|spoke to (?:mrs?|ms|dr)\.?|invoice for|between me and|patient:|cc:|frag bitte|ich heiße|me llamo|pregunta a|ask|dr\.|mrs?\.?|ms\.?|regards,\s|grüße\s|saludo,\s)|approved_by=|_name\"?: ?\"|\d\d:\d\d\]|--)[ \t]*$",
-    re.I,
-)
-_STRONG_NAME = re.compile(r"([A-Z][\w'’]+)((?: [A-Z]\.| von| van| de| al)*) ((?:al-|O['’]|von )?[A-Z][\w'’]+(?:-[A-Z][\w'’]+)?)")
+_CUE = r"(?:\b(?:my name is|name is|i'm|i am|according to|told|letter out to|spoke to (?:mrs?|ms|dr)\.?|invoice for|between me and|patient:|cc:|frag bitte|ich heiße|me llamo|pregunta a|ask|dr\.|mrs?\.?|ms\.?|regards,\s|grüße\s|saludo,\s)|approved_by=|_name\"?: ?\"|\d\d:\d\d\]|--)"
+_NAME_CUE = re.compile(_CUE + r"[ \t]*$", re.I)
+_NAME_WORD = r"[A-Z\u00c0-\u024f][A-Za-z\u00c0-\u024f\u0300-\u036f'’]+"
+_STRONG_NAME = re.compile(rf"({_NAME_WORD})((?: [A-Z]\.| von| van| de| al)*) ((?:al-|O['’]|von )?{_NAME_WORD}(?:-{_NAME_WORD})?)")
+_GLUED = re.compile(r"['’]s?$|(?<=[a-z]{3})[A-Z]|(?<=[A-Z]{3})[a-z]{2}")  # where what follows a surname without a space begins
+_UNIT = re.compile(r"\d ?ms[ \t]*$")  # milliseconds, no title
 _WORDS = re.compile(r"\w+|[^\w\s]")
 
 
@@ -64,6 +67,29 @@ _LONG_WORD = re.compile(r"[^\W\d_][^\W\d_'’-]{4,}")
 _TITLES = frozenset("mr mrs ms dr prof herr frau señor señora sr sra don doña ask told bitte frag an a und and y project the".split())
 
 
+_FOLD = {chr(i): c for i in range(0xC0, 0x250) if (c := unicodedata.normalize("NFD", chr(i))[0]).isascii()} | dict(zip("ØøŁłĐđ", "OoLlDd", strict=True))
+_MARKED = re.compile("[" + "".join(_FOLD) + "]")
+
+
+def fold(text: str) -> str:
+    """The text without accents, of the same length."""
+    return text if text.isascii() else _MARKED.sub(lambda m: _FOLD[m.group()], text)
+
+
+def announced(text: str):
+    """(start, end, first name, surname) of capitalised pairs right behind a word that announces a name."""
+    at = 0
+    while m := _STRONG_NAME.search(text, at):
+        at = m.end(1)
+        left = text[max(0, m.start() - 24) : m.start()]
+        if not _NAME_CUE.search(left) or _UNIT.search(left):
+            continue
+        first, last = m.group(1), _GLUED.split(m.group(3), maxsplit=1)[0]
+        if first[0].isupper() and any(c.isupper() for c in last[:5]) and first.lower() not in _TITLES:
+            at = m.start(3) + len(last)
+            yield m.start(), at, first, last
+
+
 class Lexicon:
     """Endings of surnames and first names, learned from the names that clear contexts announce."""
 
@@ -77,21 +103,22 @@ class Lexicon:
 
     @classmethod
     def learn(cls, texts: list[str]) -> Lexicon:
-        ends, firsts = Counter(), Counter()
-        for t in texts:
-            for m in _STRONG_NAME.finditer(t):
-                if m.group(1)[0].isupper() and _NAME_CUE.search(t[max(0, m.start() - 24) : m.start()]):
-                    surname = m.group(3).lower().split("-")[-1]
-                    if len(surname) >= 6:
-                        ends[surname[-4:]] += 1
-                    firsts[m.group(1).lower()] += 1
-        endings = {e for e, n in ends.items() if n >= 3 and re.fullmatch(r"[a-z\u00df-\u024f]{4}", e)}
-        plain = Counter(w for t in texts for w in set(_LONG_WORD.findall(t)) if w.islower() and w[-4:] in endings)
-        return cls(endings, {f for f, n in firsts.items() if n >= 2}, {w for w, n in plain.items() if n >= 12})
+        counts = Counter(x for t in texts for x in heard(t))
+        endings, firsts = cls.known((kind, word, n) for (kind, word), n in counts.items())
+        plain = Counter(w for t in texts for w in plain_words(t, endings))
+        return cls(endings, firsts, {w for w, n in plain.items() if n >= common_least(len(texts))})
+
+    @staticmethod
+    def known(counts) -> tuple[set[str], set[str]]:
+        """(endings, first names) heard often enough, of (kind, word, times)."""
+        counts = list(counts)
+        endings = {w for kind, w, n in counts if kind == "end" and n >= 3 and re.fullmatch(r"[a-z\u00df-\u024f]{4}", w)}
+        return endings, {w for kind, w, n in counts if kind == "first" and n >= 2}
 
     def names(self, text: str, low: str):
-        """Pairs of a first name and a surname of the lexicon, written alike (Title, UPPER or lower)."""
-        ends = self.endings
+        """Pairs of a first name and a surname of the lexicon, written alike (Title, UPPER or lower); accents do not count."""
+        ends, whole, text = self.endings, text, fold(text)
+        low = low if text == whole else text.lower()
         if not any(w[-4:] in ends for w in _LONG_WORD.findall(low)):
             return
         at = 0
@@ -106,6 +133,25 @@ class Lexicon:
                 at = m.start() + len(m.group("last") or m.group("first2"))
 
 
+def heard(text: str):
+    """("end", ending) and ("first", first name) of the names that a text announces."""
+    for _, _, first, last in announced(text):
+        surname = fold(last.lower()).split("-")[-1]
+        if len(surname) >= 6:
+            yield "end", surname[-4:]
+        yield "first", fold(first.lower())
+
+
+def plain_words(text: str, endings: set[str]) -> set[str]:
+    """The words of a text in lower case that end like a surname."""
+    return {w for w in set(_LONG_WORD.findall(fold(text))) if w[-4:] in endings and w.islower()}
+
+
+def common_least(texts: int) -> float:
+    """Texts, of so many, that must hold a word in lower case for it to be an everyday one."""
+    return max(12, COMMON_RATE * texts)
+
+
 def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, shape) of candidate spans, in order, not overlapping; the earlier shapes take precedence."""
     spans: list[tuple[int, int, str]] = []
@@ -124,6 +170,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
                 take((m.span() for m in pattern.finditer(text)), "address")
         take((m.span() for m in _NUMBER.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7 and not _DATE.match(m.group()) and not _IP.match(m.group())), "number")
     take(lexicon.names(text, low), "name")
+    take(((a, b) for a, b, _, _ in announced(text)), "name")
     return sorted(spans)
 
 
@@ -164,7 +211,7 @@ def weak_label(text: str, a: int, b: int, shape: str, lexicon: Lexicon) -> str |
         if re.match(r"\W{0,3}(?:a valid |is what they |as )?(?:ssn|dni|passport|national id)|\W{0,2} is what they have", right, re.I):
             return "id_number"
         return "phone" if re.match(r"\(?\+\d", span) else None
-    m = lexicon.pattern.match(text, a)
+    m = lexicon.pattern.match(fold(text), a)
     first = (m.group("first") or m.group("first2") or "").lower() if m else ""
     if m and (m.group("last") or m.group("last2")).lower() in lexicon.common:
         return "none"  # the surname is an everyday word of the corpus
@@ -189,7 +236,7 @@ def features(text: str, a: int, b: int, shape: str, lexicon: Lexicon) -> list[in
     elif shape == "email":
         f += [f"tld={span.lower()[-4:]}", f"alpha={span[-1:].isalpha()}", f"local={span.lower()[:4]}", f"url={'://' in left}"]
     elif shape == "name":
-        words = _WORDS.findall(span.lower())
+        words = _WORDS.findall(fold(span.lower()))
         f += [f"first={w}" for w in words[:1]] + [f"last={words[-1][-4:]}", f"known={any(w in lexicon.firsts for w in words)}", f"cue={bool(_NAME_CUE.search(left))}", f"plain={any(w in lexicon.common for w in words)}"]
     return [zlib.crc32(x.encode()) % BUCKETS for x in f]
 
@@ -320,15 +367,34 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
 
 
+def learn_lexicon(texts: DataFrame) -> Lexicon:
+    """Lexicon.learn over all rows of `texts`; only the words that are kept come to the driver."""
+
+    def counted(batches, of):
+        for pdf in batches:
+            counts = Counter(x for t in pdf["text"] for x in of(t))
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "word", "n"])
+
+    def count(of, least: float):
+        parts = texts.select("text").mapInPandas(lambda batches: counted(batches, of), "kind string, word string, n long")
+        return [(r.kind, r.word, r.n) for r in parts.groupBy("kind", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()]
+
+    endings, firsts = Lexicon.known(count(heard, 2))
+    if not endings:
+        return Lexicon(endings, firsts)
+    common = count(lambda t: (("plain", w) for w in plain_words(t, endings)), common_least(texts.count()))
+    return Lexicon(endings, firsts, {w for _, w, _ in common})
+
+
 def train(texts: DataFrame) -> Field:
-    """A field fitted on the TRAIN_TEXTS texts with the smallest hashes, its lexicon on LEXICON_TEXTS; `texts` has a column text."""
+    """A field fitted on the TRAIN_TEXTS texts with the smallest hashes, its lexicon counted over all; `texts` has a column text."""
     usable = texts.where("text IS NOT NULL AND length(text) BETWEEN 8 AND 20000").select("text", F.xxhash64("text").alias("h"))
-    # the hash cuts the sample out where the rows lie, so that a driver gets about LEXICON_TEXTS rows from any number of partitions
-    part = min(1.0, 1.3 * LEXICON_TEXTS / max(1, texts.count()))
+    # the hash cuts the sample out where the rows lie, so that a driver gets about TRAIN_TEXTS rows from any number of partitions
+    part = min(1.0, 1.3 * TRAIN_TEXTS / max(1, texts.count()))
     low = F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000) + 1
-    sample = usable.where(low).orderBy("h", "text").limit(LEXICON_TEXTS)
+    sample = usable.where(low).orderBy("h", "text").limit(TRAIN_TEXTS)
     rows = [r.text for r in sample.collect()]
-    return Field(Lexicon.learn(rows)).fit(rows[:TRAIN_TEXTS])
+    return Field(learn_lexicon(texts.where("text IS NOT NULL"))).fit(rows)
 
 
 def find(texts: DataFrame, field: Field) -> DataFrame:

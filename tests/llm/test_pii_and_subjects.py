@@ -70,6 +70,23 @@ def test_redact_table(spark):
     assert [r.k for r in pii.find(df, field).collect()] == ["1"]
 
 
+def test_announced_and_accented_names_are_candidates():
+    lexicon = pii.Lexicon.learn(corpus(400))
+    names = lambda t: [t[a:b] for a, b, s in pii.candidates(t, lexicon) if s == "name"]
+    assert names("Please ask Oona Grzybek's team. My name is Émile Zolair") == ["Oona Grzybek", "Émile Zolair"]
+    assert names("the report of Mirela Lindmárk and of jonas ostholmé") == ["Mirela Lindmárk", "jonas ostholmé"]
+    assert names("answered in 7215 ms Ohne Bilanz") == [] and pii.fold("Łódź é 日") == "Lodz e 日"
+
+
+def test_lexicon_is_counted_over_all_rows(spark):
+    """A name in 3 of 40,000 texts, and one in a text of more than 20,000 characters, are learnt; the driver's Lexicon.learn gives the same."""
+    plain = ["nothing of note here"] * 40_000 + ["the sorcery of it"] * 30
+    rare = [f"My name is {x} Zyntharp." for x in ("Orla", "Bena", "Orla")] + ["y " * 12_000 + f"told {x} Quivcery" for x in ("Ilse", "Ilse", "Tove")]
+    got = pii.train(spark.createDataFrame([(t,) for t in [*plain, *rare, None]], "text string")).lexicon
+    want = pii.Lexicon.learn(plain + rare)
+    assert got.endings == want.endings == {"harp", "cery"} and got.firsts == want.firsts == {"orla", "ilse"} and got.common == want.common == {"sorcery"}
+
+
 def test_subjects(spark):
     rng = random.Random(2)
     words = {"cooking": ["dough", "oven", "salt", "broth"], "law": ["court", "appeal", "lawyer", "statute"], "sport": ["goal", "coach", "league", "relay"]}
