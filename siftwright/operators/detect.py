@@ -159,8 +159,12 @@ def _unpack_url(text: str):
             yield "url", data
 
 
-def layers(text: str, max_depth: int = 2, max_bytes: int = 65_536) -> list[tuple[list[str], str]]:
-    """(chain, text) of what a text decodes to, outermost step first; each blob once, within a budget of bytes."""
+def layers(text: str, max_depth: int = 2, max_bytes: int | None = None) -> list[tuple[list[str], str]]:
+    """(chain, text) of what a text decodes to, outermost step first; each blob once, within a budget of bytes if one is given.
+
+    Without one the layers are still bounded by the text: a step makes no more
+    bytes than it reads, and there are three of them and max_depth levels.
+    """
     out, seen, used = [], set(), 0
 
     def walk(t, chain):
@@ -170,7 +174,7 @@ def layers(text: str, max_depth: int = 2, max_bytes: int = 65_536) -> list[tuple
                 if data in seen:
                     continue
                 seen.add(data)
-                if used + len(data) > max_bytes:
+                if max_bytes is not None and used + len(data) > max_bytes:
                     continue
                 used += len(data)
                 try:
@@ -185,8 +189,8 @@ def layers(text: str, max_depth: int = 2, max_bytes: int = 65_536) -> list[tuple
     return out
 
 
-def decode_layers(turns: DataFrame, max_depth: int = 2, max_bytes: int = 65_536) -> DataFrame:
-    """Turns with their decoded layers: file_path, turn_idx, role, chain, decoded. The budget is per row (chunk or turn)."""
+def decode_layers(turns: DataFrame, max_depth: int = 2, max_bytes: int | None = None) -> DataFrame:
+    """Turns with their decoded layers: file_path, turn_idx, role, chain, decoded. A budget is per row: for chunks of 4,096 bytes 65,536, for whole turns none."""
 
     def run(batches):
         for pdf in batches:

@@ -1,6 +1,7 @@
 import base64
 import json
 import math
+import random
 import sqlite3
 
 import pytest
@@ -67,6 +68,17 @@ def test_decoded_layers(spark):
     assert D.layers("A" * 40) == [] and D.layers(one, max_bytes=10) == []
 
 
+def test_decoded_layers_of_long_turns(spark):
+    """Payloads above 64 KB are opened, and so is what stands behind them."""
+    rng = random.Random(3)
+    big = base64.b64encode(rng.randbytes(10) + "".join(rng.choices("abcdefghij klmnop", k=90_000)).encode()).decode()
+    secret = base64.b64encode(f"key {PAT} 0".encode()).decode()
+    long = base64.b64encode(("".join(rng.choices("abcdefghij klmnop", k=90_000)) + f" {PAT} ").encode()).decode()
+    url = "a%20" + PAT.replace("g", "%67") + "%20 " + "filler, " * 9000
+    got = {(r.turn_idx, tuple(r.transforms)) for r in D.detect_decoded(turns(spark, f"{'x, ' * 30_000}{big} {secret}", long, url)).where("detector_id = 'github_pat_classic'").collect()}
+    assert got == {(0, ("base64",)), (1, ("base64",)), (2, ("url",))}
+
+
 def test_cross_turn_and_chunks(spark):
     got = D.detect_across(turns(spark, "start " + PAT[:20], PAT[20:] + " end", PAT + " alone in turn", "tiny")).where("detector_id = 'github_pat_classic'").collect()
     assert [(r.turn_idx, list(r.contributing_turns), r.span_kind) for r in got] == [(1, [0, 1], "cross_turn")]
