@@ -23,6 +23,7 @@ DIM, LINKS, EARLY, LANDMARKS = 64, 24, 8, 32
 SEGMENT_ROWS, CHUNK_ROWS = 20_000, 20_000
 BEAMS, TARGET, TUNING_QUERIES = (32, 64, 128, 256), 0.98, 300
 LIKE, SHIFT = 0.75, 6  # least similarity of the texts around; how far a turn may have moved
+FLOOR = 0.5  # cosine above which what the beam brings is reranked
 CLOSE = 0.55  # cosine above which a neighbour may be the same sighting; the beam must not miss these
 WINDOW = 32  # turns in a route; a row near a window's edge is also looked up in the next one
 
@@ -84,7 +85,7 @@ class SmallWorld:
         self.group = np.repeat(np.arange(len(self.start)), self.size)
         self.rank = np.arange(n) - self.start[self.group] if n else np.zeros(0, np.int64)
         self.routes = route[self.start] if n else route
-        self.beam = BEAMS[0]
+        self.beam, self.recall = BEAMS[0], 0.0
         if links is None:
             self.links = np.full((n, LINKS), -1, np.int32)
             if n:
@@ -185,23 +186,24 @@ class SmallWorld:
     def tune(self) -> float:
         """Widen the beam until it finds the close neighbours that exhaustive search finds; the recall reached.
 
-        Queries are spread over the largest route, at most TUNING_QUERIES of them.
+        At most TUNING_QUERIES queries, spread over all routes that are larger
+        than the links of a point. Those whose whole beam is above FLOOR are
+        left out: they are compared exhaustively anyway (see _matches).
         """
-        if not len(self.start):
-            return 1.0
-        g = int(self.size.argmax())
-        n, a = int(self.size[g]), int(self.start[g])
-        if n <= LINKS + 1:
-            return 1.0
-        at = a + np.linspace(0, n - 1, min(n, TUNING_QUERIES)).astype(np.int64)
-        close = (self.x[at] @ self.x[a : a + n].T >= CLOSE).sum(1)
-        recall = 0.0
+        inside = np.flatnonzero(self.size[self.group] > LINKS + 1) if len(self.start) else np.zeros(0, np.int64)
+        self.recall = 1.0
+        if not len(inside):
+            return self.recall
+        at = inside[np.linspace(0, len(inside) - 1, min(len(inside), TUNING_QUERIES)).astype(np.int64)]
+        group = self.group[at]
+        close = np.array([(self.x[self.start[g] : self.start[g] + self.size[g]] @ self.x[i] >= CLOSE).sum() for i, g in zip(at, group, strict=True)])
         for self.beam in BEAMS:
-            _, sims = self.search(self.x[at], np.full(len(at), g), np.full(len(at), n), self.beam)
-            recall = float(np.minimum((sims >= CLOSE).sum(1), close).sum() / max(1, np.minimum(close, self.beam).sum()))
-            if recall >= TARGET:
+            _, sims = self.search(self.x[at], group, self.size[group], self.beam)
+            left = sims[:, -1] <= FLOOR
+            self.recall = float(np.minimum((sims >= CLOSE).sum(1), close)[left].sum() / max(1, close[left].sum())) if close[left].any() else 1.0
+            if self.recall >= TARGET:
                 break
-        return recall
+        return self.recall
 
 
 def similar(a: str, b: str) -> float:
@@ -231,7 +233,12 @@ def routed(rows: DataFrame) -> DataFrame:
 
 
 def _matches(graph: SmallWorld, base: pd.DataFrame, queries: pd.DataFrame, x: np.ndarray, earlier_only: bool, entry: np.ndarray | None = None) -> list[tuple]:
-    """(id_b, id_a) of queries and the indexed sightings they repeat, after exact reranking."""
+    """(id_b, id_a) of queries and the indexed sightings they repeat, after exact reranking; the smallest id_a of each is among them.
+
+    A query whose whole beam is above FLOOR may have more such neighbours than
+    places, and others than it may repeat can hold them; it is compared with
+    all of its route, as is every query where the graph's recall is too low.
+    """
     group = np.searchsorted(graph.routes, queries["route"].to_numpy()) if len(graph.routes) else np.zeros(len(queries), np.int64)
     hit = np.flatnonzero((group < len(graph.routes)) & (graph.routes[np.minimum(group, max(len(graph.routes) - 1, 0))] == queries["route"].to_numpy())) if len(graph.routes) else np.zeros(0, np.int64)
     out = []
@@ -241,7 +248,22 @@ def _matches(graph: SmallWorld, base: pd.DataFrame, queries: pd.DataFrame, x: np
         if not len(part):
             continue
         ids, sims = graph.search(x[part], group[part], np.full(len(part), len(base)), graph.beam, None if entry is None else entry[part])
-        near = (ids >= 0) & (sims > 0.5)
+        whole = np.flatnonzero((sims[:, -1] > FLOOR) | (graph.recall < TARGET))
+        for i in whole:
+            b, g = part[i], group[part[i]]
+            own = np.arange(graph.start[g], graph.start[g] + graph.size[g])
+            ok = (np.abs(b_turn[own] - q_turn[b]) <= SHIFT) & (b_id[own] != q_id[b])
+            if earlier_only:
+                ok &= b_id[own] < q_id[b]
+            own = own[ok]
+            own = own[graph.x[own] @ x[b] > FLOOR]
+            for a in own[np.argsort(b_id[own], kind="stable")]:
+                same_user = q_user[b] is None or b_user[a] is None or q_user[b] == b_user[a]
+                if same_user and (q_text[b] == b_text[a] or similar(q_text[b], b_text[a]) >= LIKE):
+                    out.append((int(q_id[b]), int(b_id[a])))
+                    break
+        near = (ids >= 0) & (sims > FLOOR)
+        near[whole] = False
         near &= np.abs(b_turn[ids] - q_turn[part][:, None]) <= SHIFT
         near &= b_id[ids] != q_id[part][:, None]
         if earlier_only:

@@ -68,3 +68,15 @@ def test_graph_recall_against_brute_force():
     ids, _ = graph.search(x[q], np.zeros(len(q), int), np.full(len(q), 3000), graph.beam)
     exact = np.argsort(-(x[q] @ x.T), axis=1, kind="stable")[:, :2]
     assert np.mean([e in set(r) for r, es in zip(ids, exact, strict=True) for e in es]) >= 0.9
+
+
+def test_hot_window_with_more_neighbours_than_the_beam(spark):
+    """Sightings of another user, nearer than the one that is repeated, fill the whole beam."""
+    words = WORDS[:10]
+    row = lambda i, scan, user, w: (i, scan, "card_number", f"/home/{user}/.a/p-q/1.jsonl", 3, " ".join(w[:5]) + ": [FP:00000000] " + " ".join(w[5:]), "")
+    rows = [row(0, "s0", "u1", [*words[:8], "yarrow", "willow"])]
+    rows += [row(i, f"s{i}", "u2", [*words[:9], f"{words[9]}{chr(97 + i % 26)}{chr(97 + i // 26)}"]) for i in range(1, 400)]
+    rows.append(row(400, "s400", "u1", words))
+    got = {(r.id_a, r.id_b) for r in H.replay(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (0, 400) in got
+    assert got == {(0, 400)} | {(1, i) for i in range(2, 400)}
