@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from siftwright.session import materialise
 
 LOCAL_ROWS = 200_000
+BUCKET_ROWS = 100_000  # rows of a large tree that one task holds
 
 OK, CYCLE, LOST = "ok", "cycle", "missing_parent"
 
@@ -76,14 +77,15 @@ class WeightedForest:
 def effective_parents(rows: list[tuple]) -> dict:
     """node -> parent for one tree from (node, parent, children) rows.
 
-    Repeated rows of a node count once; a node without a parent takes the node
-    whose children name it (the smallest id where several do).
+    Repeated rows of a node count once, the largest parent where they differ;
+    a node without a parent takes the node whose children name it (the
+    smallest id where several do).
     """
     parents: dict = {}
     named: dict = {}
     for node, parent, children in rows:
-        if parents.get(node) is None:
-            parents[node] = parent
+        have = parents.get(node)
+        parents[node] = parent if have is None or (parent is not None and parent > have) else have
         for kid in children if children is not None else ():
             if kid is not None and (kid not in named or node < named[kid]):
                 named[kid] = node
@@ -203,7 +205,7 @@ def _distributed(links: DataFrame, with_paths: bool) -> DataFrame:
     present = nodes.select(c, F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     nodes = materialise(nodes.join(present, [c, "parent_id"], "left"), "forest-nodes")
     inside = nodes.select(c, "node_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
-    buckets = max(2, links.sparkSession.sparkContext.defaultParallelism)
+    buckets = max(2, links.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // BUCKET_ROWS))
     local = materialise(_bucket_forest(inside, buckets), "forest-local")
 
     tops = local.where("node_id = top").select(c, "top", "parent_id", "looped")
@@ -281,6 +283,20 @@ def subtree_sums(nodes: DataFrame, combine=F.sum) -> DataFrame:
     return last.select(c, "node_id", "x")
 
 
+def path_sums(nodes: DataFrame) -> DataFrame:
+    """x of a node and all above it, summed; nodes(conversation_id, node_id, parent_id, x) without cycles."""
+    c = "conversation_id"
+
+    def fold(state):
+        ahead = state.select(c, F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("x").alias("y"))
+        return state.join(ahead, [c, "up"], "left").select(c, "node_id", F.col("up2").alias("up"), (F.col("x") + F.coalesce("y", F.lit(0))).alias("x"))
+
+    last = None
+    for state in _doubling(nodes, F.col("x"), fold):
+        last = state
+    return last.select(c, "node_id", "x")
+
+
 def _paths(nodes: DataFrame) -> DataFrame:
     """Root-to-node paths by doubling: each round joins a node's piece of path to that of the ancestor above it."""
     c = "conversation_id"
@@ -313,9 +329,8 @@ def hierarchy(links: DataFrame, with_paths: bool = True, local_rows: int = LOCAL
       root, depth, path and n_descendants are null.
 
     Rows with a null conversation_id or node_id belong to no tree and give no
-    row; repeated rows count once (of several parents, the first not null in a
-    task's order; deliveries of one node agree). An empty table gives an empty
-    table.
+    row; repeated rows count once (of several parents, the largest). An empty
+    table gives an empty table.
     """
     rows = links.select("conversation_id", "node_id", "parent", "children").where("conversation_id IS NOT NULL AND node_id IS NOT NULL")
     big = large_trees(rows, local_rows)
@@ -332,48 +347,51 @@ def descendants(forest: DataFrame) -> DataFrame:
     return walked.where("level < depth").select("conversation_id", "ancestor_id", "node_id", (F.col("depth") - F.col("level")).alias("distance"))
 
 
-def place_orphans(messages: DataFrame, max_rounds: int = 64) -> DataFrame:
+def place_orphans(messages: DataFrame) -> DataFrame:
     """Give rows without a conversation_id the one their parent belongs to.
 
     The parent is `parent` or, where null, the node whose children name the
-    row. Only the orphans move through joins; each round looks their parents
-    up among the placed rows (same file first, then anywhere; the smallest
-    conversation where several fit) and what was just placed places the next.
-    Rows whose parent cannot be found keep a null conversation_id.
+    row. It is looked for in the row's own file first, then anywhere, each
+    time among the rows that have a conversation, then among the other
+    orphans; of several the smallest is taken. Both sides of every join hold
+    one row a key. Chains of orphans of any length are followed by doubling.
+    Rows whose parent cannot be found, and orphans on a cycle of orphans, keep
+    a null conversation_id.
     """
-    c = "conversation_id"
-    orphans = messages.where(F.col(c).isNull() & F.col("node_id").isNotNull()).select("node_id", "parent", "file_path").distinct()
-    if not orphans.head(1):
+    c, cols = "conversation_id", ["node_id", "parent", "file_path"]
+    key = F.to_json(F.struct(*cols))
+    lone = messages.where(F.col(c).isNull() & F.col("node_id").isNotNull()).select(*cols, "children", key.alias("orphan"))
+    if not lone.head(1):
         return messages
-    orphans = materialise(orphans, "orphans")
     known = messages.where(F.col(c).isNotNull())
-    wanted = orphans.select(F.col("parent").alias("node_id")).where("node_id IS NOT NULL").distinct()
-    hits = known.select(c, "node_id", "file_path").join(wanted, "node_id", "left_semi")
-    kidless = orphans.where("parent IS NULL").select(F.col("node_id").alias("kid")).distinct()
-    names = (
-        known.where(F.size("children") > 0)
-        .select(c, "file_path", F.explode("children").alias("kid"))
-        .join(kidless, "kid", "left_semi")
-    )
-    by_parent = orphans.select("node_id", "parent", "file_path").join(
-        hits.select(F.col("node_id").alias("parent"), F.col(c).alias("home"), F.col("file_path").alias("home_file")), "parent"
-    )
-    by_name = orphans.where("parent IS NULL").join(
-        names.select(F.col("kid").alias("node_id"), F.col(c).alias("home"), F.col("file_path").alias("home_file")), "node_id"
-    )
-    cols = ["node_id", "parent", "file_path"]
-    pick = lambda df: df.groupBy(*cols).agg(F.min(F.struct((F.coalesce(F.col("home_file") != F.col("file_path"), F.lit(True))).alias("elsewhere"), F.col("home"))).alias("m")).select(*cols, F.col("m.home").alias("home"))
-    placed = materialise(pick(by_parent.select(*cols, "home", "home_file").unionByName(by_name.select(*cols, "home", "home_file"))), "placed")
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"p.{k}")) for k in cols]
-    for _ in range(max_rounds):
-        rest = orphans.alias("o").join(placed.alias("p"), same, "left_anti")
-        if not rest.head(1):
-            break
-        up = placed.select(F.col("node_id").alias("parent"), "home", F.col("file_path").alias("home_file"))
-        more = pick(rest.join(up, "parent").select(*cols, "home", "home_file"))
-        if not more.head(1):
+    named = lone.select("orphan", "file_path", F.explode("children").alias("seek"), F.lit("name").alias("how"))
+    lone = materialise(lone.select("orphan", *cols).distinct(), "orphans")
+    how = F.when(F.col("parent").isNull(), "name").otherwise("parent")
+    wanted = lone.select("orphan", "file_path", how.alias("how"), F.coalesce("parent", "node_id").alias("seek"))
+    sought = wanted.select("how", "seek").distinct()
+    holds = lambda df, who: df.select(F.lit("parent").alias("how"), F.col("node_id").alias("seek"), "file_path", F.col(who).alias("holder"))
+    kids = known.where(F.size("children") > 0).select(F.lit("name").alias("how"), F.explode("children").alias("seek"), "file_path", F.col(c).alias("holder"))
+    # the names are few next to the rows, so each side of the union is cut down before it is grouped
+    homes = holds(known, c).join(sought, ["how", "seek"], "left_semi").unionByName(kids.join(sought, ["how", "seek"], "left_semi"))
+    homes = materialise(homes.groupBy("how", "seek", "file_path").agg(F.min("holder").alias("holder")), "homes")
+    others = holds(lone, "orphan").unionByName(named.select("how", "seek", "file_path", F.col("orphan").alias("holder")))
+    others = others.groupBy("how", "seek", "file_path").agg(F.min("holder").alias("holder"))
+    for name, held in (("home", homes), ("other", others)):
+        near = held.select("how", "seek", F.coalesce("file_path", F.lit("")).alias("f"), F.col("holder").alias(f"{name}_near")).groupBy("how", "seek", "f").agg(F.min(f"{name}_near").alias(f"{name}_near"))
+        far = held.groupBy("how", "seek").agg(F.min("holder").alias(f"{name}_far"))
+        wanted = wanted.withColumn("f", F.coalesce("file_path", F.lit(""))).join(near, ["how", "seek", "f"], "left").join(far, ["how", "seek"], "left")
+    here = F.col("home_near").isNotNull()
+    beside = ~here & F.col("other_near").isNotNull()
+    away = ~here & ~beside & F.col("home_far").isNotNull()
+    state = wanted.select("orphan", F.when(here, F.col("home_near")).when(away, F.col("home_far")).alias("home"), F.when(beside, F.col("other_near")).when(~here & ~away, F.col("other_far")).alias("up"))
+    state, left = materialise(state, "placed"), None
+    while True:
+        waiting = state.where("up IS NOT NULL").count()
+        if waiting in (0, left):  # chains have no gaps: if none ended in a round, the waiting ones are cycles
             break
-        placed = materialise(placed.unionByName(more), "placed")
-    lost = messages.where(F.col(c).isNull()).alias("o").join(placed.alias("p"), same, "left").select("o.*", F.col("p.home").alias("__home"))
-    lost = lost.withColumn(c, F.col("__home")).drop("__home").select(*messages.columns)
-    return known.unionByName(lost)
+        left = waiting
+        ahead = state.select(F.col("orphan").alias("up"), F.col("home").alias("home2"), F.col("up").alias("up2"))
+        state = materialise(state.join(ahead, "up", "left").select("orphan", F.coalesce("home", "home2").alias("home"), F.col("up2").alias("up")), "placed")
+    homes = state.where("home IS NOT NULL").select(F.col("orphan").alias("__orphan"), F.col("home").alias("__home"))
+    rest = messages.where(F.col(c).isNull()).withColumn("__orphan", key).join(homes, "__orphan", "left")
+    return known.unionByName(rest.withColumn(c, F.col("__home")).select(*messages.columns))

@@ -89,6 +89,10 @@ WITH RECURSIVE placed AS (
 def oracle_sql():
     return {
         "p6_found": _PLACED + "SELECT n.conversation_id, n.node_id FROM nodes n ANTI JOIN walk w USING (conversation_id, node_id)",
+        "p6_hierarchy": _PLACED
+        + """, below AS (SELECT conversation_id, anc AS node_id, count(*) - 1 AS n FROM (SELECT conversation_id, unnest(path) AS anc FROM walk) GROUP BY 1, 2)
+SELECT n.conversation_id, n.node_id, n.parent_id, w.root_id, w.depth, w.path, b.n AS n_descendants, coalesce(w.status, 'cycle') AS status
+FROM nodes n LEFT JOIN walk w USING (conversation_id, node_id) LEFT JOIN below b USING (conversation_id, node_id)""",
         "p6_descendants": _PLACED
         + "SELECT conversation_id, ancestor_id, node_id, CAST(depth - level AS INTEGER) AS distance FROM ("
         + "SELECT conversation_id, node_id, depth, unnest(path) AS ancestor_id, generate_subscripts(path, 1) - 1 AS level FROM walk) WHERE level < depth",

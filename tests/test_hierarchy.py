@@ -96,3 +96,14 @@ def test_orphans_follow_their_parents(spark):
     ]
     got = {r.node_id: r.conversation_id for r in H.place_orphans(spark.createDataFrame(rows, SCHEMA)).collect() if r.node_id != "r"}
     assert got == {"k": "c1", "kk": "c1", "k2": "c2", "byname": "c1", "lost": None}
+
+
+def test_long_chains_of_orphans(spark):
+    """Chains of any length, orphans named by orphans, cycles of orphans, the same short id in another file."""
+    rows = [("c1", "0", None, [], "f1", ""), ("c0", "0", None, [], "f2", "")]
+    rows += [(None, str(k), str(k - 1), [], "f1", "") for k in range(1, 150)]
+    rows += [(None, "x", "149", ["y"], "f1", ""), (None, "y", None, ["z"], "f1", ""), (None, "z", None, None, "f1", "")]
+    rows += [(None, "p", "q", [], "f1", ""), (None, "q", "p", [], "f1", ""), (None, "s", "s", [], None, "")]
+    got = {r.node_id: r.conversation_id for r in H.place_orphans(spark.createDataFrame(rows * 2, SCHEMA)).collect() if r.node_id != "0"}
+    assert {n for n, c in got.items() if c == "c1"} == {*map(str, range(1, 150)), "x", "y", "z"}
+    assert {n for n, c in got.items() if c is None} == {"p", "q", "s"}
