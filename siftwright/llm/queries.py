@@ -78,13 +78,14 @@ def queries():
     }
 
 
+_ROLE = "CASE WHEN lower(trim({0})) IN ('user', 'human') THEN 'user' WHEN lower(trim({0})) IN ('assistant', 'bot', 'model') THEN 'assistant' WHEN lower(trim({0})) IN ('tool', 'function') THEN 'tool' ELSE lower(trim({0})) END"
 _VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
 
 _P2 = rf"""
 WITH RECURSIVE placed AS (
-  SELECT conversation_id, node_id, parent, children, role, content FROM messages WHERE conversation_id IS NOT NULL
+  SELECT conversation_id, node_id, parent, children, role, content, create_time FROM messages WHERE conversation_id IS NOT NULL
   UNION
-  SELECT p.conversation_id, m.node_id, m.parent, m.children, m.role, m.content
+  SELECT p.conversation_id, m.node_id, m.parent, m.children, m.role, m.content, m.create_time
   FROM messages m JOIN placed p ON m.parent = p.node_id WHERE m.conversation_id IS NULL
 ), named AS (
   SELECT conversation_id, kid AS node_id, min(node_id) AS namer
@@ -107,15 +108,38 @@ WITH RECURSIVE placed AS (
          count(*) FILTER (n.says IS NOT NULL) AS spoken,
          count(*) FILTER (n.says = 'user' AND a.node_id IS NULL) AS open
   FROM nodes n LEFT JOIN answered a USING (conversation_id, node_id) GROUP BY 1
-), reached AS (SELECT conversation_id, count(*) AS n FROM walk GROUP BY 1)
-SELECT f.conversation_id FROM facts f LEFT JOIN reached r USING (conversation_id)
-WHERE f.roots <> 1 OR r.n IS NULL OR r.n < f.n OR f.spoken = 0 OR f.open > 0
+), reached AS (SELECT conversation_id, count(*) AS n FROM walk GROUP BY 1),
+dropped AS (SELECT f.conversation_id FROM facts f LEFT JOIN reached r USING (conversation_id)
+WHERE f.roots <> 1 OR r.n IS NULL OR r.n < f.n OR f.spoken = 0 OR f.open > 0)
+"""
+
+# siblings in the order of their parent's children list, those it lacks by clock and id; a path of such keys sorts in pre-order
+_P2_ORDER = f""", places AS (
+  SELECT conversation_id, parent_id, node_id, min(place) AS place FROM (
+    SELECT conversation_id, node_id AS parent_id, unnest(children) AS node_id, generate_subscripts(children, 1) AS place FROM placed) GROUP BY 1, 2, 3
+), keyed AS (
+  SELECT n.conversation_id, n.node_id, n.parent_id,
+         {{'k': coalesce(s.place, 1 << 30), 't': CASE WHEN s.place IS NULL THEN c.clock ELSE 0 END, 'n': n.node_id}} AS k
+  FROM nodes n ANTI JOIN dropped USING (conversation_id)
+  JOIN (SELECT conversation_id, node_id, min(coalesce(create_time, 0)) AS clock FROM placed GROUP BY 1, 2) c USING (conversation_id, node_id)
+  LEFT JOIN places s ON s.conversation_id = n.conversation_id AND s.parent_id = n.parent_id AND s.node_id = n.node_id
+), sorted AS (
+  SELECT conversation_id, node_id, [k] AS ks FROM keyed WHERE parent_id IS NULL
+  UNION ALL
+  SELECT k.conversation_id, k.node_id, list_append(s.ks, k.k) FROM keyed k JOIN sorted s ON s.conversation_id = k.conversation_id AND s.node_id = k.parent_id
+), numbered AS (SELECT conversation_id, node_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY ks) - 1 AS INTEGER) AS position FROM sorted),
+once AS (
+  SELECT conversation_id, node_id, role, content, create_time FROM placed WHERE role IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conversation_id, node_id ORDER BY role, content NULLS FIRST, create_time NULLS FIRST) = 1
+)
+SELECT conversation_id, position, node_id, {_ROLE.format('role')} AS role, content, create_time FROM once JOIN numbered USING (conversation_id, node_id)
 """
 
 
 def oracle_sql():
     return {
         "p1_found": "SELECT DISTINCT file_path, turn_idx FROM turns WHERE octet_length(encode(content)) > 4096",
-        "p2_found": _P2,
+        "p2_found": _P2 + "SELECT conversation_id FROM dropped",
+        "p2_conversations": _P2 + _P2_ORDER,
         "p8_texts": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents",
     }

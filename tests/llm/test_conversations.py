@@ -78,3 +78,35 @@ def test_replay_in_several_micro_batches_loses_no_row(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {f"c{i}": "kept" for i in range(48)}
+
+
+def test_order_of_large_conversations(spark):
+    """Joins give the same order as the state, with branches, children lists in another order, and many siblings."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for c in ("a", "b"):
+        up = {f"{c}{k}": f"{c}{rng.randrange(max(0, k - 6), k)}" if k % 9 else f"{c}0" for k in range(1, 80)}
+        for k in range(80):
+            kids = [x for x, p in up.items() if p == f"{c}{k}" and rng.random() < 0.6]
+            rng.shuffle(kids)
+            role = "assistant" if k % 3 == 0 or f"{c}{k}" not in up.values() else "user"
+            rows.append((c, f"{c}{k}", up.get(f"{c}{k}"), kids, role, "t", float(rng.randrange(5)), "f", T0, ""))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    small, large = ({(r.node_id, r.position) for r in C.conversations(df, local_rows=n).collect()} for n in (C.LOCAL_ROWS, 3))
+    assert len(small) == 160 and small == large
+
+
+def test_repeated_rows_do_not_close_early_nor_reopen(spark, tmp_path):
+    events = C.message_events(spark.createDataFrame(chain("good", ("user", "q"), ("assistant", "a")), SCHEMA))
+    from pyspark.sql import functions as F
+
+    rows = events.select("conversation_id", C.digest(F.lit(3)).alias("digest"), F.lit(T0).alias("event_time")).collect()
+    src, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    parts = [[rows[0], rows[0], rows[0]], rows, rows[:2]]  # the first file repeats a row as often as rows are announced
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, C.EVENTS).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(C.EVENTS).parquet(src)
+        C.rebuild(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        assert [r.verdict for r in spark.read.schema(C.VERDICTS).parquet(out).collect()] == ["kept"][: i]  # noqa: E203
