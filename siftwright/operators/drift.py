@@ -38,8 +38,6 @@ ALIASES = {
 # Spellings of roles.
 ROLE_SPELLINGS = {"user": "user", "human": "user", "assistant": "assistant", "bot": "assistant", "model": "assistant", "system": "system", "tool": "tool", "function": "tool"}
 
-SKETCH = 24  # smallest value hashes kept per field and file
-
 RECORDS = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -57,13 +55,13 @@ RECORDS = T.StructType(
 
 def _members(record: dict, wrap: bool) -> list[tuple[str, object]]:
     """(field, value) of a record; the members of a `message` object under `message.`."""
-    out = []
+    out: dict = {}
     for name, value in record.items():
         if wrap and name == "message" and isinstance(value, dict):
-            out += [("message." + k, v) for k, v in value.items() if v is not None]
+            out |= {"message." + k: v for k, v in value.items() if v is not None}
         elif value is not None:
-            out.append((name, value))
-    return out
+            out.setdefault(name, value)
+    return list(out.items())
 
 
 def message_objects(value):
@@ -125,21 +123,24 @@ def files_of(raw_messages: DataFrame, item_table: DataFrame) -> DataFrame:
 
 
 def _shape(text: Column) -> Column:
-    """A value's outline: digits as 0, letters as a, cut to 40 characters."""
-    return F.regexp_replace(F.regexp_replace(F.substring(text, 1, 40), r"\d+", "0"), r"\p{L}+", "a")
+    """A value's outline, whole: digits as 0, letters as a."""
+    return F.regexp_replace(F.regexp_replace(text, r"\d+", "0"), r"\p{L}+", "a")
+
 
+def values_of(records: DataFrame) -> DataFrame:
+    """(series, file_seq, field, type, shape, telling, h): a row per value, with hashes of its outline and of itself; telling: the outline is more than one word."""
+    f = records.where("series IS NOT NULL AND file_seq IS NOT NULL").select("series", "file_seq", F.explode(F.arrays_zip("names", "kinds", "texts")).alias("f"))
+    f = f.select("series", "file_seq", F.col("f.names").alias("field"), F.col("f.kinds").alias("type"), _shape(F.col("f.texts")).alias("shape"), F.xxhash64("f.texts").alias("h"))
+    return f.select("series", "file_seq", "field", "type", F.xxhash64("shape").alias("shape"), F.coalesce(F.col("shape").rlike("[^a]"), F.lit(False)).alias("telling"), "h")
 
-def lifespans(records: DataFrame, files: DataFrame) -> DataFrame:
-    """The catalogue: per series, field and file its main type, main value shape and a sketch of its values."""
-    fields = records.select("series", "file_seq", F.explode(F.arrays_zip("names", "kinds", "texts")).alias("f")).select("series", "file_seq", F.col("f.names").alias("field"), F.col("f.kinds").alias("type"), _shape(F.col("f.texts")).alias("shape"), F.xxhash64("f.texts").alias("h"))
+
+def lifespans(values: DataFrame, files: DataFrame) -> DataFrame:
+    """The catalogue: per series, field and file its main type and its main outline (on a tie the last by name)."""
     key = ["series", "file_seq", "field"]
-    kinds = fields.groupBy(*key, "type", "shape").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.pmod("h", F.lit(4096)))), 1, SKETCH).alias("seen"))
-    kinds = kinds.groupBy(*key).agg(
-        F.max(F.struct("n", "type")).alias("t"),
-        F.max(F.struct("n", "shape")).alias("s"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, SKETCH).alias("seen"),
-    )
-    return kinds.join(files, ["series", "file_seq"]).select("series", "place", "field", F.col("t.type").alias("type"), F.col("s.shape").alias("shape"), "seen")
+    both = values.groupBy(*key, "type", "shape", "telling").agg(F.count("*").alias("n"))
+    types = both.groupBy(*key, "type").agg(F.sum("n").alias("k"), F.max(F.struct("n", "shape", "telling")).alias("s"))
+    main = types.groupBy(*key).agg(F.max(F.struct("k", "type")).alias("t"), F.max("s").alias("s"))
+    return main.join(files, ["series", "file_seq"]).select("series", "file_seq", "place", "field", F.col("t.type").alias("type"), "s.shape", "s.telling")
 
 
 def _concept() -> Column:
@@ -147,6 +148,13 @@ def _concept() -> Column:
     return F.element_at(F.create_map(*pairs), F.regexp_replace("field", r"^message\.", ""))
 
 
+def _with_values(fields: DataFrame, values: DataFrame) -> DataFrame:
+    """fields with a row per distinct value they hold in their file (h), and the number of these (n)."""
+    key = ["series", "file_seq", "field"]
+    held = materialise(values.join(fields.select(*key), key, "left_semi").select(*key, "h").distinct(), "held")
+    return fields.join(held, key).join(held.groupBy(*key).agg(F.count("*").alias("n")), key)
+
+
 def changes(raw_messages: DataFrame, item_table: DataFrame) -> DataFrame:
     """(file_path, field, change) of each file against the one before it in its series.
 
@@ -154,19 +162,22 @@ def changes(raw_messages: DataFrame, item_table: DataFrame) -> DataFrame:
     that is not null. Its type is the one most of the file's values have (on a
     tie the last by name). A field that starts where another of the same
     concept (alias table) ends is renamed; fields the table doesn't know are
-    matched by the outline or the values they hold. Files with a null series
+    matched if they share half of the distinct values of one of them, or the
+    main outline. Files with a null series
     or file_seq belong to no series and are left out; the first file of a
     series has no changes.
     """
     files = materialise(files_of(raw_messages, item_table), "files")
-    spans = lifespans(read_records(raw_messages, item_table), files)
+    values = materialise(values_of(read_records(raw_messages, item_table)), "values")
+    spans = lifespans(values, files)
     w = Window.partitionBy("series", "field").orderBy("place")
     spans = spans.withColumns({"before": F.lag("place").over(w), "type_before": F.lag("type").over(w), "after": F.lead("place").over(w)})
     last = files.groupBy("series").agg(F.max("place").alias("last"))
     spans = materialise(spans.join(last, "series"), "lifespans")
     unbroken = F.col("before") == F.col("place") - 1
-    starts = spans.where((F.col("place") > 1) & ~F.coalesce(unbroken, F.lit(False))).select("series", "place", "field", "type", "shape", "seen", _concept().alias("concept"))
-    ends = spans.where((F.col("place") < F.col("last")) & ~F.coalesce(F.col("after") == F.col("place") + 1, F.lit(False))).select("series", (F.col("place") + 1).alias("place"), "field", "type", "shape", "seen", _concept().alias("concept"))
+    facts = ["file_seq", "field", "type", "shape", "telling", _concept().alias("concept")]
+    starts = spans.where((F.col("place") > 1) & ~F.coalesce(unbroken, F.lit(False))).select("series", "place", *facts)
+    ends = spans.where((F.col("place") < F.col("last")) & ~F.coalesce(F.col("after") == F.col("place") + 1, F.lit(False))).select("series", (F.col("place") + 1).alias("place"), *facts)
     retyped = spans.where(unbroken & (F.col("type") != F.col("type_before"))).select("series", "place", "field", F.lit("retyped").alias("change"))
     # a wrapped and an unwrapped field are never the same thing
     level = lambda df: df.withColumn("level", F.col("field").startswith("message."))
@@ -175,15 +186,22 @@ def changes(raw_messages: DataFrame, item_table: DataFrame) -> DataFrame:
     new = level(starts).withColumn("nth", F.row_number().over(nth))
     old = level(ends).withColumn("nth", F.row_number().over(nth))
     by_table = new.where("concept IS NOT NULL").join(old.where("concept IS NOT NULL").select(*key, F.col("field").alias("old_field"), F.col("type").alias("old_type")), key).select("series", "place", "field", "type", "old_field", "old_type")
-    strange_new = level(starts).where("concept IS NULL")
-    strange_old = level(ends).select("series", "place", "level", F.col("field").alias("old_field"), F.col("type").alias("old_type"), F.col("shape").alias("old_shape"), F.col("seen").alias("old_seen"), F.col("concept").alias("old_concept"))
-    alike = (F.size(F.array_intersect("seen", "old_seen")) * 2 >= F.least(F.size("seen"), F.size("old_seen"))) | ((F.col("shape") == F.col("old_shape")) & F.col("shape").rlike("[^a]"))
-    free = strange_old.join(by_table.select("series", "place", "old_field"), ["series", "place", "old_field"], "left_anti")
-    guessed = strange_new.join(free, ["series", "place", "level"]).where(alike)
-    score = F.size(F.array_intersect("seen", "old_seen"))
-    guessed = guessed.withColumn("r", F.row_number().over(Window.partitionBy("series", "place", "field").orderBy(score.desc(), "old_field"))).where("r = 1")
-    guessed = guessed.withColumn("r", F.row_number().over(Window.partitionBy("series", "place", "old_field").orderBy(score.desc(), "field"))).where("r = 1")
-    renamed = materialise(by_table.unionByName(guessed.select("series", "place", "field", "type", "old_field", "old_type")), "renamed")
+    here = ["series", "place", "level"]
+    strange = level(starts).where("concept IS NULL").drop("concept")
+    gone = level(ends).drop("concept").join(by_table.select("series", "place", F.col("old_field").alias("field")), ["series", "place", "field"], "left_anti")
+    gone = gone.join(strange.select(*here).distinct(), here, "left_semi")
+    if strange.head(1):
+        strange, gone = _with_values(materialise(strange, "strange"), values), _with_values(materialise(gone, "gone"), values)
+        as_old = lambda df: df.select(*here, *[F.col(c).alias(f"old_{c}") for c in ("field", "type", "shape", "n")], *[c for c in ("h",) if c in df.columns])
+        once = lambda df: df.drop("h").distinct()
+        shared = strange.select(*here, "field", "h").join(as_old(gone).select(*here, "old_field", "h"), [*here, "h"]).groupBy(*here, "field", "old_field").agg(F.count("*").alias("shared"))
+        met = once(strange).join(as_old(once(gone)), here).join(shared, [*here, "field", "old_field"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+        alike = ((F.col("shared") > 0) & (F.col("shared") * 2 >= F.least("n", "old_n"))) | ((F.col("shape") == F.col("old_shape")) & F.col("telling"))
+        best = lambda by, then: F.row_number().over(Window.partitionBy("series", "place", by).orderBy(F.col("shared").desc(), then))
+        guessed = met.where(alike).withColumn("r", best("field", "old_field")).where("r = 1")
+        guessed = guessed.withColumn("r", best("old_field", "field")).where("r = 1")
+        by_table = by_table.unionByName(guessed.select(*by_table.columns))
+    renamed = materialise(by_table, "renamed")
     out = (
         renamed.select("series", "place", "field", F.lit("renamed").alias("change"))
         .unionByName(renamed.where("type <> old_type").select("series", "place", "field", F.lit("retyped").alias("change")))
@@ -220,11 +238,20 @@ def settled(raw_messages: DataFrame, item_table: DataFrame) -> DataFrame:
     """All records of both sources in one table with settled columns and types.
 
     Columns: source, series, file_seq, file_path, line_no (record_id for the
-    item table), message_id and those of ALIASES. A value that cannot be cast
-    is null; a record that was readable is never dropped.
+    item table), message_id, those of ALIASES, and `other`: a map of every
+    member that is in none of these columns (fields the table doesn't know, a
+    second field of the same concept, values that could not be cast), as text
+    under its own name. A record that was readable is never dropped.
     """
     rows = read_records(raw_messages, item_table)
-    # a name may stand both at the top and in the wrapped message: the wrapped one counts
-    at = lambda n: F.coalesce(*[F.try_element_at("texts", F.nullif(F.array_position("names", p + n).cast("int"), F.lit(0))) for p in ("message.", "")])
-    cols = {c: _cast(kind, F.coalesce(*[at(n) for n in names])) for c, (kind, names) in ALIASES.items()}
-    return rows.select("source", "series", "file_seq", "file_path", "line_no", "message_id", *[v.alias(k) for k, v in cols.items()])
+    cols, used = {}, []
+    for c, (kind, names) in ALIASES.items():
+        # a name may stand both at the top and in the wrapped message: the wrapped one counts
+        known = F.array(*[F.lit(p + n) for n in names for p in ("message.", "")])
+        name = F.get(F.array_intersect(known, F.col("names")), F.lit(0))
+        raw = F.try_element_at("texts", F.nullif(F.array_position("names", name).cast("int"), F.lit(0)))
+        cols[c] = _cast(kind, raw)
+        used.append(F.when(cols[c].isNotNull(), name))
+    named = F.map_from_arrays("names", "texts")
+    other = F.map_filter(named, lambda k, v: ~F.array_contains(F.array_compact(F.array(*used)), k))
+    return rows.select("source", "series", "file_seq", "file_path", "line_no", "message_id", *[v.alias(k) for k, v in cols.items()], other.alias("other"))

@@ -192,7 +192,7 @@ def _with_text(parts: DataFrame, adj: DataFrame) -> DataFrame:
     """A part's text: its own scalar, or the text member of a block; filled tells whether there is anything in it."""
     keys = ["tab", "record_id"]
     inner = (
-        adj.where("label IS NOT NULL AND kind <> 'null'")
+        adj.where("label IS NOT NULL AND parent_label IS NULL AND kind <> 'null'")  # members of objects in arrays, as parts are
         .groupBy(*keys, F.col("parent").alias("part"))
         .agg(F.max(F.when((F.col("label") == "text"), F.col("scalar"))).alias("text"), F.max(F.when(F.col("label") == "text", F.lit(True))).alias("texted"), F.count("*").alias("members"))
     )
@@ -211,10 +211,7 @@ def entity_tables(exports: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
     """
     export_adj = shred(parallel(exports), "conversation_exports", "raw")
     item_adj = shred(parallel(items.where("key LIKE 'aiService.%'")), "item_table", "value")
-    needed = ["mapping", "parts", "replies", "id", "parent", "title", "conversation_id", "model", *CONTENT_NAMES, *ROLE_NAMES, *TIME_NAMES]
-    adj = export_adj.unionByName(item_adj)
-    # values that no entity table asks for (attachments, marks, dims and the like) need not be stored
-    adj = materialise(adj.where(F.col("label").isNull() | F.col("label").isin(*needed) | F.col("parent_label").isin("mapping") | F.col("parent_label").isNull() | F.col("label").isin("asset_pointer", "type")), "adjacency")
+    adj = materialise(export_adj.unionByName(item_adj), "adjacency")
     e = _exports(adj.where("tab = 'conversation_exports'"))
     i = _items(adj.where("tab = 'item_table'"))
     parts = _with_text(e["parts"].unionByName(i["parts"]), adj)

@@ -14,19 +14,34 @@ SHARED_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder of
-    this process is taken and set, so that the next call finds the same one.
+    Where the setting is absent a temporary folder is taken and set, but only
+    if the session runs in local mode (tests, a laptop): executors on other
+    machines could not read it, so that is an error there.
     """
     path = spark.conf.get(SHARED_KEY, None) or spark.sparkContext.getConf().get(SHARED_KEY)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SHARED_KEY} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="siftwright-")
         spark.conf.set(SHARED_KEY, path)
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder under the shared one; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/siftwright/{sc.applicationId}"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return path
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path under the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/siftwright/{tag}-{uuid.uuid4().hex}"
+    """A path under the run's folder that nothing has used yet."""
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

@@ -62,3 +62,42 @@ def test_changes(spark):
     }
     table = drift.settled(raw, items).where("series = 's' and file_seq < 4").orderBy("file_seq").collect()
     assert [(r.role, r.content, r.time.isoformat()) for r in table] == [("user", "a", "2023-11-14T22:13:20"), ("user", "b", "2025-01-01T00:00:00"), ("user", "c\nd", "2023-11-14T22:13:20.123000")]
+
+
+def _raw(spark, *files):
+    rows = [("s", n, f"f{n}", i, json.dumps(r), "clash") for n, records in enumerate(files, 1) for i, r in enumerate(records)]
+    return spark.createDataFrame(rows, RAW), spark.createDataFrame([], ITEM)
+
+
+def test_main_type_is_that_of_most_values(spark):
+    """Eight strings of different outlines outweigh three numbers of one."""
+    raw, items = _raw(spark, [{"x": "a"}], [{"x": "a-" * k} for k in range(8)] + [{"x": 5}] * 3)
+    assert drift.changes(raw, items).count() == 0
+
+
+def test_unknown_fields_are_matched_by_whole_values(spark):
+    """Outlines that differ after the first forty characters differ; values count exactly, however many there are."""
+    long = ["w" * 50 + "-" + str(k) for k in range(300)]
+    raw, items = _raw(
+        spark,
+        [{"p": v, "q": "z" * 45 + "=" + chr(97 + k % 26) * (k + 1)} for k, v in enumerate(long)],
+        [{"pp": v.replace("-", "+") if k >= 150 else v, "qq": "z" * 45 + "/" + str(k)} for k, v in enumerate(long)],
+    )
+    assert {tuple(r) for r in drift.changes(raw, items).collect()} == {("f2", "pp", "renamed"), ("f2", "q", "removed"), ("f2", "qq", "added")}
+
+
+def test_settled_table_loses_no_member(spark):
+    raw, items = _raw(spark, [{"role": "user", "sender": "bot", "weird": {"a": 1}, "tokens": "many", "rating": 3, "message": {"role": "human", "odd": [1]}, "message.odd": 2}])
+    (row,) = drift.settled(raw, items).collect()
+    assert (row.role, row.rating, row.tokens) == ("user", 3, None)
+    assert row.other == {"role": "user", "sender": "bot", "weird": '{"a": 1}', "tokens": "many", "message.odd": "[1]"}
+
+
+def test_adjacency_is_whole(spark):
+    value = {"a": {"image_url": "u"}, "list": [[1, None], {"dims": {"w": 1}}], "s": "x"}
+    part = {"id": "c", "mapping": {"n": {"id": "n", "message": {"content": {"parts": [{"image_url": "u"}, {"dims": None}]}}}}}
+    exports = spark.createDataFrame([(1, "f", json.dumps(value), ""), (2, "f", json.dumps(part), "")], EXPORT)
+    items = spark.createDataFrame([], ITEM)
+    adj = shredding.entity_tables(exports, items)["adjacency"]
+    assert adj.where("record_id = 1").count() == 11
+    assert {tuple(r) for r in shredding.found_parts(exports, items).collect()} == {("conversation_exports", 2, "n", 0)}
