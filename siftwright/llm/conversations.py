@@ -121,15 +121,14 @@ def rebuild(events: DataFrame, delay: str = "7 days", idle_seconds: int = 7 * 86
                 return
             rows = json.loads(packed)
         else:
-            rows, times = [] if packed == CLOSED else json.loads(packed), []
-            for pdf in pdfs:
-                if packed != CLOSED:
-                    rows += [json.loads(d) for d in pdf["digest"].tolist()]
-                times.append(pdf["event_time"])
-            last = max(last, *(int(t.max().timestamp() * 1000) for t in times))
+            pdfs = list(pdfs)
+            rows = [] if packed == CLOSED else json.loads(packed)
+            if packed != CLOSED:
+                rows += json.loads(f"[{','.join(d for pdf in pdfs for d in pdf['digest'].tolist())}]")
             expected = max((r["n"] for r in rows if "n" in r), default=None)
             done = packed != CLOSED and expected is not None and len({r["f0"] for r in rows}) >= expected
             if not done or remember:
+                last = max(last, *(int(pdf["event_time"].max().timestamp() * 1000) for pdf in pdfs))
                 state.update((CLOSED if done or packed == CLOSED else json.dumps(rows), last))
                 state.setTimeoutTimestamp(max(last + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
             elif state.exists:
