@@ -130,12 +130,14 @@ SHADOWED = {
 
 # Matches that are placeholders.
 STOPWORDS = (
-    "placeholder", "your_api_key", "your_secret", "your_token", "YOUR_API_KEY", "YOUR_SECRET_KEY", "YOUR_TOKEN", "YOUR_PASSWORD",
-    "<YOUR_API_KEY>", "<API_KEY>", "<TOKEN>", "<SECRET>", "INSERT_YOUR_KEY_HERE", "REPLACE_WITH_YOUR_KEY", "example_key", "sample_key",
-    "test_key", "dummy_key", "fake_key", "my_api_key", "api_key_here", "x" * 20, "X" * 20, "y" * 11, "Y" * 11, "a" * 42, "0" * 32, "1" * 32,
-    "f" * 32, "F" * 32, "deadbeef" * 4, "0123456789abcdef" * 2, "x" * 32, "X" * 32, "x" * 37, "x" * 40, "x" * 24,
-    "your_cloudflare_api_token_here_xxxxxxxxx", "<YOUR_CLOUDFLARE_API_TOKEN>", "<YOUR_ATLASSIAN_TOKEN>", "<YOUR_ALGOLIA_API_KEY>",
-    "<YOUR_ASANA_TOKEN>", "adafruit",
+    "placeholder", "your_api_key", "your_secret", "your_token", "YOUR_API_KEY", "YOUR_SECRET_KEY", "YOUR_TOKEN", "YOUR_PASSWORD", "<YOUR_API_KEY>",
+    "<API_KEY>", "<TOKEN>", "<SECRET>", "INSERT_YOUR_KEY_HERE", "REPLACE_WITH_YOUR_KEY", "example_key", "sample_key", "test_key", "dummy_key",
+    "fake_key", "my_api_key", "api_key_here", "xxxxxxxxxxxxxxxxxxxx", "XXXXXXXXXXXXXXXXXXXX", "yyyyyyyyyyy", "YYYYYYYYYYY",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "00000000000000000000000000000000", "11111111111111111111111111111111",
+    "ffffffffffffffffffffffffffffffff", "FFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFF", "deadbeefdeadbeefdeadbeefdeadbeef", "0123456789abcdef0123456789abcdef",
+    "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx",
+    "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "xxxxxxxxxxxxxxxxxxxxxxxx", "your_cloudflare_api_token_here_xxxxxxxxx", "<YOUR_CLOUDFLARE_API_TOKEN>",
+    "<YOUR_ATLASSIAN_TOKEN>", "<YOUR_ALGOLIA_API_KEY>", "<YOUR_ASANA_TOKEN>", "adafruit", "documentation", "example.com",
 )
 
 FAKE_MARKER = "SYNTHETIC_FAKE"  # generated secrets carry it; give another where a corpus has its own

@@ -48,10 +48,26 @@ def byte_slice(text: Column, start: Column, end: Column | None = None) -> Column
     return F.decode(rest, "UTF-8")
 
 
+def byte_head(text: Column, n: int) -> Column:
+    """The first n bytes of a text; a character cut by the end is left out."""
+    kept = F.regexp_replace(F.hex(F.substr(text.cast("binary"), F.lit(1), F.lit(n))), r"(?<=^(?:..){0,%d})(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$" % n, "")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.unhex(kept), "UTF-8"))
+
+
+def byte_tail(text: Column, n: int) -> Column:
+    """The last n bytes of a text; a character cut by the start is left out."""
+    kept = F.regexp_replace(F.hex(F.substr(text.cast("binary"), F.octet_length(text) - (n - 1), F.lit(n))), r"^(?:[89AB].)+", "")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.unhex(kept), "UTF-8"))
+
+
+def one_line(text: Column) -> Column:
+    """Control characters as spaces."""
+    return F.regexp_replace(text, r"[\x00-\x1f\x7f]", " ")
+
+
 def excerpt(text: Column, start: Column, end: Column, fp: Column) -> Column:
     """30 characters before, the fingerprint in place of the match, 30 after; on one line."""
-    line = F.concat(F.right(byte_slice(text, F.lit(0), start), F.lit(30)), F.lit("[FP:"), fp, F.lit("]"), F.left(byte_slice(text, end), F.lit(30)))
-    return F.regexp_replace(line, r"[\x00-\x1f\x7f]", " ")
+    return one_line(F.concat(F.right(byte_slice(text, F.lit(0), start), F.lit(30)), F.lit("[FP:"), fp, F.lit("]"), F.left(byte_slice(text, end), F.lit(30))))
 
 
 def confidence_rank(confidence: Column) -> Column:

@@ -12,22 +12,40 @@ def overlap_match(labels: DataFrame, predictions: DataFrame) -> DataFrame:
 
     labels: entry, class, label_no, start, end; predictions: entry, class,
     pred_no, start, end. Labels choose in their order, each the first
-    prediction left. An entry's candidate pairs are those that overlap.
+    prediction left. One sweep over the sorted spans: only a run of spans that
+    hang together is held, never an entry.
     """
-    a, b = labels.alias("a"), predictions.alias("b")
-    pairs = a.join(b, (F.col("a.entry") == F.col("b.entry")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
-    pairs = pairs.select("a.entry", "a.class", "a.label_no", "b.pred_no")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out, had = set(), [], set()
-        for r in pdf.sort_values(["label_no", "pred_no"]).itertuples(index=False):
-            if r[2] not in had and r[3] not in used:
-                had.add(r[2])
-                used.add(r[3])
-                out.append(tuple(r))
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return pairs.groupBy("entry", "class").applyInPandas(choose, pairs.schema)
+    a = labels.select("entry", "class", "start", "end", F.lit(0).alias("side"), F.col("label_no").cast("long").alias("no"))
+    b = predictions.select("entry", "class", "start", "end", F.lit(1).alias("side"), F.col("pred_no").cast("long").alias("no"))
+    spans = a.unionByName(b).where("entry IS NOT NULL AND class IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL")
+    placed = spans.repartition("entry", "class").sortWithinPartitions("entry", "class", "start", "end")
+
+    def choose(run: list[tuple]):
+        guesses = sorted((r for r in run if r[4]), key=lambda r: r[5])
+        if not guesses or len(guesses) == len(run):
+            return
+        for entry, kind, start, end, side, no in sorted(run, key=lambda r: r[5]):
+            if not side:
+                for i, g in enumerate(guesses):
+                    if start < g[3] and g[2] < end:
+                        yield entry, kind, no, g[5]
+                        del guesses[i]
+                        break
+
+    def sweep(batches):
+        run, reach, key, out = [], 0, None, []
+        for pdf in batches:
+            for r in pdf.itertuples(index=False, name=None):
+                if r[:2] != key or r[2] >= reach:
+                    out += choose(run)
+                    run, reach, key = [], r[3], r[:2]
+                run.append(r)
+                reach = max(reach, r[3])
+            yield pd.DataFrame(out, columns=["entry", "class", "label_no", "pred_no"])
+            out = []
+        yield pd.DataFrame(list(choose(run)), columns=["entry", "class", "label_no", "pred_no"])
+
+    return placed.mapInPandas(sweep, "entry string, class string, label_no long, pred_no long")
 
 
 def precision_recall(labels: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions.scalars import byte_slice, hmac_sha256
+from siftwright.operators.ordered import numbered
 
 MODES = ("mask", "hash", "partial", "vault_ref", "mask_with_type")
 
@@ -26,6 +27,15 @@ def merge_spans(findings: DataFrame) -> DataFrame:
     return out.select("file_path", "turn_idx", F.col("f.byte_start").alias("byte_start"), "byte_end", F.col("f.detector_id").alias("detector_id"), "n_findings")
 
 
+def _char_bound(place: str, step: int) -> Column:
+    """A byte offset of content, moved by up to 3 in the direction of step to where a character begins."""
+    inside = lambda x: F.hex(F.substr(F.col("content").cast("binary"), (x + 1).cast("int"), F.lit(1))).rlike("^[89AB]")
+    at = F.col(place) + 3 * step
+    for k in (2, 1, 0):
+        at = F.when(inside(F.col(place) + k * step), at).otherwise(F.col(place) + k * step)
+    return at
+
+
 def _replacement(mode: str, piece: Column, salt: bytes) -> Column:
     if mode == "mask":
         return F.lit("[REDACTED]")
@@ -45,17 +55,17 @@ def redact(turns: DataFrame, findings: DataFrame, mode: str = "mask", salt: byte
 
     hash: the same value has the same tag under one salt. vault_ref: numbered
     per detector in the order of file, turn and place. Spans that reach beyond
-    the content are clamped. turns must hold a (file_path, turn_idx) once.
+    the content are clamped; an end inside a character moves outwards to its bound. turns must hold a (file_path, turn_idx) once.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spans = merge_spans(findings)
     if mode == "vault_ref":
-        w = Window.partitionBy("detector_id").orderBy("file_path", "turn_idx", "byte_start")
-        spans = spans.withColumn("ref", F.row_number().over(w))
+        spans = numbered(spans, ["detector_id"], ["file_path", "turn_idx", "byte_start"], "ref")
     size = F.octet_length("content")
     own = turns.select("file_path", "turn_idx", "content").where("content IS NOT NULL")
     cut = spans.join(own, ["file_path", "turn_idx"]).where(F.col("byte_start") < size).withColumn("byte_end", F.least("byte_end", size))
+    cut = cut.withColumns({"byte_start": _char_bound("byte_start", -1), "byte_end": _char_bound("byte_end", 1)})
     new = _replacement(mode, byte_slice(F.col("content"), F.col("byte_start"), F.col("byte_end")), salt)
     per_turn = cut.withColumn("new", new).groupBy("file_path", "turn_idx").agg(F.array_sort(F.collect_list(F.struct("byte_start", "byte_end", "new"))).alias("s"))
     rows = turns.join(per_turn, ["file_path", "turn_idx"], "left")

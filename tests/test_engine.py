@@ -48,7 +48,7 @@ def test_rules_offsets_and_gates(spark):
         assert r.matched_raw not in r.excerpt
     assert len([r for r in got if r.turn_idx == 0]) == 2 and D.dedupe(D.detect(t)).where("turn_idx = 0").count() == 1
     assert D.scan(turns(spark).limit(0)).count() == 0
-    assert len(R.RULES) == 96 and len(R.STOPWORDS) == 43
+    assert len(R.RULES) == 96 and len(R.STOPWORDS) == 45
     more = R.register_rule(R.RULES, {"id": "house", "name": "House", "severity": "high", "pattern": r"\bHS-[0-9]{6}\b"})
     assert D.detect(turns(spark, "x HS-123456"), more).first().detector_id == "house"
 
@@ -196,3 +196,64 @@ def test_streams_match_batch(spark, tmp_path):
         df.writeStream.format("parquet").option("path", str(tmp_path / f"o{i}")).option("checkpointLocation", str(tmp_path / f"c{i}")).trigger(availableNow=True).start().awaitTermination()
         got = spark.read.parquet(str(tmp_path / f"o{i}"))
         assert {(r.detector_id, r.fingerprint) for r in got.collect()} == {(r.detector_id, r.fingerprint) for r in batch.collect()} and got.count() > 0
+
+
+def test_every_finding_has_its_entropy_and_ticks_pair_from_the_left(spark):
+    pat = "ghp_" + "aZ3kQ9xW7bL2mN8vC4tR6yU1pS5dF0gHjK3l"
+    t = turns(spark, f"see\n```\n{pat}\n```")
+    (row,) = D.classify_context(D.detect(t), t).where("detector_id = 'github_pat_classic'").collect()
+    assert row.entropy_score > 4.5 and row.context_class == "real_paste"
+    df = spark.createDataFrame([("a ` b ```x``` ` KEY `",), ("`a` ```KEY``` `b`",), ("`x` and `KEY y`",), ("```\nKEY",), ("no KEY",)], "c string")
+    assert [r.x for r in df.select(D.in_inline_code(F.col("c"), F.lit("KEY")).alias("x")).collect()] == [False, False, True, False, False]  # a tick pairs with the next one, also one of a fence
+
+
+def test_short_turns_keep_their_place_and_tails_are_bytes(spark):
+    head, end = "start " + PAT[:20], PAT[20:] + " end"
+    far = D.detect_across(turns(spark, head, "ok", "", "no", end)).where("detector_id = 'github_pat_classic'")
+    near = D.detect_across(turns(spark, head, "ok", "no", end)).where("detector_id = 'github_pat_classic'")
+    assert (far.count(), near.count()) == (0, 1)
+    df = spark.createDataFrame([("é" * 5,), ("a" + "é" * 5,), ("👩👩👩",), ("abc",), ("",)], "t string")
+    got = [tuple(r) for r in df.select(S.byte_head(F.col("t"), 4), S.byte_head(F.col("t"), 5), S.byte_tail(F.col("t"), 5), S.byte_tail(F.col("t"), 6)).collect()]
+    for (text,), cut in zip(df.collect(), got, strict=True):
+        data = text.encode()
+        assert cut == (data[:4].decode(errors="ignore"), data[:5].decode(errors="ignore"), data[-5:].decode(errors="ignore"), data[-6:].decode(errors="ignore"))
+
+
+def test_windows_over_blocks_of_a_large_file(spark, monkeypatch):
+    """Cut into blocks, a file's windows and numbers are those of the whole file."""
+    from siftwright.operators import ordered
+
+    rng = random.Random(8)
+    rows = [(f, i * 3, "user", rng.choice(["for example this", "see docs.x", "plain words", PAT[:20], PAT[20:] + " it", "tiny"]), "") for f in ("big", "mid", "one") for i in range({"big": 90, "mid": 7, "one": 1}[f])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = []
+    for most in (ordered.GROUP_ROWS, 5):
+        monkeypatch.setattr(ordered, "GROUP_ROWS", most)
+        signals = {tuple(r) for r in D.context_signals(df).collect()}
+        across = {(r.file_path, r.turn_idx, tuple(r.contributing_turns)) for r in D.detect_across(df).collect()}
+        numbers = {(r.file_path, r.turn_idx, r.n) for r in ordered.numbered(df, ["file_path"], ["turn_idx"], "n").collect()}
+        got.append((signals, across, numbers))
+    assert got[0] == got[1] and len(got[0][0]) == 98 and got[0][1]
+
+
+def test_spans_inside_characters_move_outwards(spark):
+    t = turns(spark, "a👩b é c")
+    spans = spark.createDataFrame([("f", 0, 2, 4, "x", [], "single"), ("f", 0, 8, 9, "y", [], "single")], "file_path string, turn_idx long, byte_start long, byte_end long, detector_id string, transforms array<string>, span_kind string")
+    assert redact.redact(t, spans).first().content == "a[REDACTED]b [REDACTED] c"
+
+
+def test_overlap_match_sweeps(spark):
+    """The sweep equals the rule: labels in order, each the first overlapping prediction left."""
+    rng = random.Random(4)
+    spans = lambda n: [(f"e{rng.randrange(3)}", rng.choice("ab"), k, s := rng.randrange(60), s + rng.randrange(0, 9)) for k in range(n)]
+    labels, guesses = spans(80), spans(90)
+    want, used = set(), set()
+    for e, c, n, s, t in labels:
+        for e2, c2, m, s2, t2 in guesses:
+            if (e, c) == (e2, c2) and m not in used and s < t2 and s2 < t:
+                used.add(m)
+                want.add((e, c, n, m))
+                break
+    a = spark.createDataFrame(labels, "entry string, class string, label_no long, start long, end long")
+    b = spark.createDataFrame(guesses, "entry string, class string, pred_no long, start long, end long")
+    assert {tuple(r) for r in evaluate.overlap_match(a, b).collect()} == want
