@@ -1,15 +1,19 @@
 """Deduplicating new batches against all history with navigable small-world graphs.
 
-History is held in segments. A sighting can only repeat one of the same
-detector and file, so the settled spellings of both route a row to its
-segment; each route enters its segment's graph at landmarks of its own. A
-graph links every sighting to its nearest ones by the text around it; a batch
-is looked up with a beam search, and what the beam brings is reranked exactly.
-The beam is widened until its recall against exhaustive search suffices.
+History is held in shards, one per batch. A sighting can only repeat one of
+the same detector and file, so the settled spellings of both, with a window of
+turns, route a row to its cell of a shard; a cell holds a graph over its rows,
+which links every sighting to its nearest ones by the text around it. A batch
+is looked up, in the cells its rows route to, with a beam search, and what the
+beam brings is reranked exactly. The beam was widened, when the shard was
+made, until its recall against exhaustive search sufficed. Only accepted rows
+are indexed, in a shard of their own; shards of like size are merged on a
+schedule, so that there are few.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -77,30 +81,41 @@ def embed(texts: list[str]) -> np.ndarray:
 class SmallWorld:
     """A navigable small-world graph over one segment. Points are grouped by route and arrive in order within it."""
 
-    def __init__(self, x: np.ndarray, route: np.ndarray, links: np.ndarray | None = None):
-        """route must be sorted; links are those of a stored shard, else the graph is built by insertion."""
+    def __init__(self, x: np.ndarray, route: np.ndarray, stored: list | None = None):
+        """route must be sorted; stored are the links of a shard's rows within their route (None where all know each other), else the graph is built by insertion."""
         self.x, n = x, len(x)
         self.start = np.r_[0, np.flatnonzero(np.diff(route)) + 1] if n else np.zeros(0, np.int64)
         self.size = np.diff(np.r_[self.start, n])
         self.group = np.repeat(np.arange(len(self.start)), self.size)
         self.rank = np.arange(n) - self.start[self.group] if n else np.zeros(0, np.int64)
         self.routes = route[self.start] if n else route
-        self.beam, self.recall = BEAMS[0], 0.0
-        if links is None:
-            self.links = np.full((n, LINKS), -1, np.int32)
-            if n:
+        self.beam, self.recall = BEAMS[0], 1.0
+        self.links = np.full((n, LINKS), -1, np.int32)
+        if n:
+            self._acquaint()
+            if stored is None:
                 self._build()
-        else:
-            self.links = links
-
-    def _build(self) -> None:
+            else:
+                for i, own in enumerate(stored):
+                    if own is not None:
+                        own = np.asarray(own, np.int32)
+                        self.links[i] = np.where(own >= 0, own + self.start[self.group[i]], -1)
+
+    def stored_links(self) -> list:
+        """The links within each row's route; None where they follow from the route's size."""
+        large = self.size[self.group] > LINKS + 1 if len(self.x) else np.zeros(0, bool)
+        return [np.where(row >= 0, row - self.start[g], -1).astype(np.int32).tolist() if big else None for row, g, big in zip(self.links, self.group, large, strict=True)]
+
+    def _acquaint(self) -> None:
+        """The first points of a route all know each other."""
         seed = LINKS + 1
-        # the first points of a route all know each other
         first = np.flatnonzero(self.rank < seed)
         other = np.arange(LINKS)[None, :] + (np.arange(LINKS)[None, :] >= self.rank[first, None])
         have = np.minimum(self.size[self.group[first]], seed)[:, None]
         self.links[first] = np.where(other < have, self.start[self.group[first], None] + other, -1)
-        done, largest = seed, int(self.size.max())
+
+    def _build(self) -> None:
+        done, largest = LINKS + 1, int(self.size.max())
         while done < largest:
             upto = int(done * 1.3) + 1
             new = np.flatnonzero((self.rank >= done) & (self.rank < upto))
@@ -131,23 +146,20 @@ class SmallWorld:
         best = np.argsort(-s, axis=1, kind="stable")[:, :LINKS]
         self.links[who] = np.take_along_axis(cand, best, 1)
 
-    def search(self, q: np.ndarray, group: np.ndarray, known: np.ndarray, beam: int, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, group: np.ndarray, known: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(points, similarities) nearest to each query among the first `known` points of its group; -1 where there are fewer.
 
-        The beam starts at landmarks of the route, or at `entry`: for each
-        query distinct points (-1 for none) to start from.
+        The beam starts at landmarks of the route: all points where there are few.
         """
         n = len(q)
         known = np.minimum(known, self.size[group])
         start = self.start[group]
         ids = np.full((n, beam), -1, np.int64)
         sims = np.full((n, beam), -np.inf, np.float32)
-        if entry is None:
-            k = min(LANDMARKS, beam)
-            nth = np.arange(k)[None, :]
-            marks = np.where(known[:, None] <= k, nth, nth * known[:, None] // k)
-            entry = np.where(nth < known[:, None], start[:, None] + marks, -1)
-        k = entry.shape[1]
+        k = min(LANDMARKS, beam)
+        nth = np.arange(k)[None, :]
+        marks = np.where(known[:, None] <= k, nth, nth * known[:, None] // k)
+        entry = np.where(nth < known[:, None], start[:, None] + marks, -1)
         ids[:, :k] = entry
         s = np.einsum("qd,qmd->qm", q, self.x[ids[:, :k]])
         sims[:, :k] = np.where(entry >= 0, s, -np.inf)
@@ -232,187 +244,286 @@ def routed(rows: DataFrame) -> DataFrame:
     return spread.select(*rows.columns, F.xxhash64("key", "at").alias("route"), (F.col("at") == window).alias("held"))
 
 
-def _matches(graph: SmallWorld, base: pd.DataFrame, queries: pd.DataFrame, x: np.ndarray, earlier_only: bool, entry: np.ndarray | None = None) -> list[tuple]:
-    """(id_b, id_a) of queries and the indexed sightings they repeat, after exact reranking; the smallest id_a of each is among them.
+def _codes(users: np.ndarray, seen: dict) -> np.ndarray:
+    return np.array([-1 if u is None or u != u else seen.setdefault(u, len(seen)) for u in users], np.int64)
+
+
+def _matches(graph: SmallWorld, base: pd.DataFrame, queries: pd.DataFrame, x: np.ndarray) -> list[tuple]:
+    """(id_b, id_a) of queries and the first of the indexed sightings before them that they repeat, after exact reranking.
 
-    A query whose whole beam is above FLOOR may have more such neighbours than
-    places, and others than it may repeat can hold them; it is compared with
-    all of its route, as is every query where the graph's recall is too low.
+    base is sorted by route and id, so a query sees the points before its own
+    id. A query whose whole beam is above FLOOR may have more such neighbours
+    than places, and others than it may repeat can hold them; it is compared
+    with all it sees of its route, as is every query where the graph's recall
+    is too low.
     """
-    group = np.searchsorted(graph.routes, queries["route"].to_numpy()) if len(graph.routes) else np.zeros(len(queries), np.int64)
-    hit = np.flatnonzero((group < len(graph.routes)) & (graph.routes[np.minimum(group, max(len(graph.routes) - 1, 0))] == queries["route"].to_numpy())) if len(graph.routes) else np.zeros(0, np.int64)
+    if not len(base) or not len(queries):
+        return []
+    route, q_id, q_turn, q_text = (queries[c].to_numpy() for c in ("route", "id", "turn_idx", "text"))
+    b_id, b_turn, b_text = (base[c].to_numpy() for c in ("id", "turn_idx", "text"))
+    seen: dict = {}
+    q_user, b_user = _codes(queries["user"].to_numpy(), seen), _codes(base["user"].to_numpy(), seen)
+    group = np.minimum(np.searchsorted(graph.routes, route), len(graph.routes) - 1)
+    hit = np.flatnonzero(graph.routes[group] == route)
+    known = np.zeros(len(queries), np.int64)
+    for i in hit:
+        lo = graph.start[group[i]]
+        known[i] = np.searchsorted(b_id[lo : lo + graph.size[group[i]]], q_id[i])
+    hit = hit[known[hit] > 0]
+
+    def may(a, b):
+        users = (q_user[b] < 0) | (b_user[a] < 0) | (q_user[b] == b_user[a])
+        return users & (np.abs(b_turn[a] - q_turn[b]) <= SHIFT)
+
     out = []
-    q_id, q_turn, q_text, q_user = (queries[c].to_numpy() for c in ("id", "turn_idx", "text", "user"))
-    b_id, b_turn, b_text, b_user = (base[c].to_numpy() for c in ("id", "turn_idx", "text", "user"))
     for part in np.array_split(hit, max(1, -(-len(hit) // 20_000))):
         if not len(part):
             continue
-        ids, sims = graph.search(x[part], group[part], np.full(len(part), len(base)), graph.beam, None if entry is None else entry[part])
-        whole = np.flatnonzero((sims[:, -1] > FLOOR) | (graph.recall < TARGET))
-        for i in whole:
-            b, g = part[i], group[part[i]]
-            own = np.arange(graph.start[g], graph.start[g] + graph.size[g])
-            ok = (np.abs(b_turn[own] - q_turn[b]) <= SHIFT) & (b_id[own] != q_id[b])
-            if earlier_only:
-                ok &= b_id[own] < q_id[b]
-            own = own[ok]
-            own = own[graph.x[own] @ x[b] > FLOOR]
-            for a in own[np.argsort(b_id[own], kind="stable")]:
-                same_user = q_user[b] is None or b_user[a] is None or q_user[b] == b_user[a]
-                if same_user and (q_text[b] == b_text[a] or similar(q_text[b], b_text[a]) >= LIKE):
+        ids, sims = graph.search(x[part], group[part], known[part], graph.beam)
+        full = (known[part] > graph.beam) & ((sims[:, -1] > FLOOR) | (graph.recall < TARGET))
+        near = (ids >= 0) & (sims > FLOOR) & ~full[:, None] & may(np.maximum(ids, 0), part[:, None])
+        i, j = np.nonzero(near)
+        b, a = part[i], ids[i, j]
+        order = np.lexsort((b_id[a], b))
+        done = -1
+        for b, a in zip(b[order], a[order], strict=True):
+            if b != done and (q_text[b] == b_text[a] or similar(q_text[b], b_text[a]) >= LIKE):
+                out.append((int(q_id[b]), int(b_id[a])))
+                done = b
+        for b in part[full]:
+            own = np.arange(graph.start[group[b]], graph.start[group[b]] + known[b])
+            own = own[may(own, b)]
+            for a in own[graph.x[own] @ x[b] > FLOOR]:
+                if q_text[b] == b_text[a] or similar(q_text[b], b_text[a]) >= LIKE:
                     out.append((int(q_id[b]), int(b_id[a])))
                     break
-        near = (ids >= 0) & (sims > FLOOR)
-        near[whole] = False
-        near &= np.abs(b_turn[ids] - q_turn[part][:, None]) <= SHIFT
-        near &= b_id[ids] != q_id[part][:, None]
-        if earlier_only:
-            near &= b_id[ids] < q_id[part][:, None]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            a, b = ids[i, j], part[i]
-            same_user = q_user[b] is None or b_user[a] is None or q_user[b] == b_user[a]
-            if same_user and (q_text[b] == b_text[a] or similar(q_text[b], b_text[a]) >= LIKE):
-                out.append((int(q_id[b]), int(b_id[a])))
     return out
 
 
-def _first(links: DataFrame) -> DataFrame:
-    """Follow (id_b, id_a) to the first sighting; a few rounds of doubling, each row has one id_a."""
-    links = materialise(links.groupBy("id_b").agg(F.min("id_a").alias("id_a")), "links")
-    while True:
-        up = links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("first"))
-        if not links.join(up, "id_a", "left_semi").head(1):
-            return links
-        links = materialise(links.join(up, "id_a", "left").select("id_b", F.coalesce("first", "id_a").alias("id_a")), "links")
+LINK = "id_b long, id_a long"
+POINT = "cell long, id long, route long, user string, turn_idx long, text string, vector binary, links array<int>, beam int, recall double"
+COLUMNS = ["id", "route", "user", "turn_idx", "text"]
+FEW_CELLS = 1000  # a batch that touches at most so many cells of a shard names them in its read
 
 
-def replay(findings: DataFrame) -> DataFrame:
-    """(id_a, id_b): each finding that repeats a sighting accepted in an earlier batch, with the accepted one.
+@dataclass
+class Shard:
+    """Where a shard lies, its rows and segments, and its hot routes (route, lo, hi, chunks), if any."""
 
-    The whole history in one pass: what the shards of all batches come to
-    after compaction is one graph per segment, and each row is looked up among
-    the rows before it. Exact copies are collapsed to the first of them before
-    indexing. A route of more than CHUNK_ROWS rows is cut by age into chunks,
-    each with a graph of its own, and its rows are looked up in every chunk up
-    to their own.
-    """
-    rows = prepare(findings)
-    exact = ["key", "user", "turn_idx", "text"]
-    rows = rows.groupBy(*exact).agg(F.min(F.struct("id", "scan_id")).alias("f"), F.count("*").alias("copies"))
-    rows = materialise(rows.select("f.id", "f.scan_id", *exact, "copies"), "sightings")
-    spread = routed(rows.select("id", "user", "turn_idx", "text", "key")).drop("key")
-    segments = max(1, -(-rows.count() // SEGMENT_ROWS))
-    routes = spread.where("held").groupBy("route").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    hot = routes.where(F.col("n") > CHUNK_ROWS)
-    placed = spread.withColumn("segment", F.pmod("route", F.lit(segments)))
-    if hot.head(1):
-        hot = materialise(hot, "hot-routes")  # at most total / CHUNK_ROWS rows
-        placed = placed.join(hot, "route", "left_anti")
-        chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("long")
-        own = F.floor((F.col("id") - F.col("lo")) * chunks / (F.col("hi") - F.col("lo") + 1)).cast("long")
-        own = F.greatest(F.lit(0).cast("long"), F.least(chunks - 1, own))
-        by_age = spread.join(hot, "route").withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))))
-        by_age = by_age.withColumns({"segment": F.xxhash64("route", "chunk"), "held": F.col("held") & (F.col("chunk") == F.col("own"))})
-        placed = placed.unionByName(by_age.select(*placed.columns))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["route", "id"], kind="stable").reset_index(drop=True)
-        pdf["user"] = pdf["user"].astype(object).where(pdf["user"].notna(), None)
-        held = pdf["held"].to_numpy()
-        base = pdf[held].reset_index(drop=True)
-        x = embed(base["text"].tolist())
-        graph = SmallWorld(x, base["route"].to_numpy())
-        graph.tune()
-        some = graph.size[graph.group] > 1
-        inside = base[some].reset_index(drop=True)
-        entry = graph.links[some].astype(np.int64)
-        out = _matches(graph, base, inside, x[some], True, entry)
-        outside = pdf[~held].reset_index(drop=True)
-        if len(outside):
-            out += _matches(graph, base, outside, embed(outside["text"].tolist()), True)
-        return pd.DataFrame(out, columns=["id_b", "id_a"], dtype="int64")
-
-    linked = placed.groupBy("segment").applyInPandas(run, "id_b long, id_a long")
-    first = _first(linked)
-    # the copies that were collapsed follow their first one
-    copied = materialise(rows.where("copies > 1").select("id", *exact), "copied")
-    all_rows = prepare(findings).select("id", *exact)
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in exact]
-    again = all_rows.alias("a").join(copied.alias("b"), same).where("a.id <> b.id").select(F.col("a.id").alias("id_b"), F.col("b.id").alias("id_a"))
-    again = again.distinct().join(first.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("first")), "id_a", "left").select("id_b", F.coalesce("first", "id_a").alias("id_a"))
-    pairs = first.select("id_b", "id_a").unionByName(again)
-    batch = findings.select("id", "scan_id").distinct()
-    named = pairs.join(batch.select(F.col("id").alias("id_a"), F.col("scan_id").alias("scan_a")), "id_a").join(batch.select(F.col("id").alias("id_b"), F.col("scan_id").alias("scan_b")), "id_b")
-    return named.where(~F.col("scan_a").eqNullSafe(F.col("scan_b"))).select("id_a", "id_b").distinct()
+    path: str
+    rows: int
+    segments: int
+    hot: DataFrame | None
 
 
-SHARD = "segment long, shard long, id long, scan_id string, route long, user string, turn_idx long, text string, links array<int>"
+def _layout(rows: DataFrame) -> tuple[int, int, DataFrame | None]:
+    """(rows, segments, hot routes): a segment is the cell of many routes; a route of more than CHUNK_ROWS rows has cells of its own, by age."""
+    n = rows.count()
+    routes = rows.groupBy("route").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("n") > CHUNK_ROWS)
+    hot = None
+    if n > CHUNK_ROWS and routes.head(1):  # at most rows / CHUNK_ROWS of them
+        hot = materialise(routes.select("route", "lo", "hi", F.ceil(F.col("n") / CHUNK_ROWS).cast("long").alias("chunks")), "hot-routes")
+    return n, max(1, -(-n // SEGMENT_ROWS)), hot
 
 
-class HistoryIndex:
-    """Shards of accepted sightings in the shared folder: one per batch, merged when they become many.
+def _in_cells(rows: DataFrame, segments: int, hot: DataFrame | None, held: bool) -> DataFrame:
+    """rows with the cell they are held in, or (not held) with each cell that can hold something before them."""
+    cell = F.pmod("route", F.lit(segments)).cast("long")
+    if hot is None:
+        return rows.withColumn("cell", cell)
+    own = F.floor((F.col("id") - F.col("lo")) * F.col("chunks") / (F.col("hi") - F.col("lo") + 1)).cast("long")
+    own = F.greatest(F.lit(0).cast("long"), F.least(F.col("chunks") - 1, own))
+    cut = rows.join(hot, "route").withColumn("chunk", own if held else F.explode(F.sequence(F.lit(0).cast("long"), own)))
+    cut = cut.withColumn("cell", F.xxhash64("route", "chunk"))
+    return rows.join(hot, "route", "left_anti").withColumn("cell", cell).unionByName(cut.select(*rows.columns, "cell"))
+
+
+def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["route", "id"], kind="stable").reset_index(drop=True)
+
+
+def _graph_of(base: pd.DataFrame) -> SmallWorld:
+    """The graph of a shard's cell, or of whole routes of it, as stored."""
+    x = np.frombuffer(b"".join(base["vector"]), np.float16).reshape(len(base), DIM).astype(np.float32)
+    graph = SmallWorld(x, base["route"].to_numpy(), base["links"].tolist())
+    graph.beam, graph.recall = int(base["beam"].max()), float(base["recall"].min())
+    return graph
+
 
-    add(batch) gives the new rows of a batch and the repeated ones with the
-    accepted row each repeats; only the new rows are indexed, and the history
-    is never reprocessed outside a compaction.
+class HistoryIndex:
+    """Shards of accepted sightings in the shared folder: one per batch, merged on a schedule.
+
+    A row of a batch is a repeat if it is the same sighting as an accepted row
+    of a smaller id, in an earlier batch or in its own, and the first of these
+    is the one it repeats; other rows are accepted and indexed. The history is
+    read only in the cells, and of these in the routes, that the batch routes
+    to. Before a batch, shards are merged while the last is at least half as
+    large as the one before it, so n batches leave some log2(n) shards and a
+    row is rewritten as often.
     """
 
-    def __init__(self, spark, segments: int = 16, most_shards: int = 8, path: str | None = None):
-        self.spark, self.segments, self.most = spark, segments, most_shards
+    def __init__(self, spark, path: str | None = None):
+        self.spark = spark
         self.path = path or fresh_path(spark, "history")
-        self.shards: list[str] = []
+        self.shards: list[Shard] = []
         self.made = 0
 
-    def _read(self) -> DataFrame:
-        return self.spark.read.schema(SHARD).parquet(*self.shards) if self.shards else self.spark.createDataFrame([], SHARD)
+    def _write(self, rows: DataFrame) -> Shard:
+        """Build a shard's graphs, one per cell, tune them, and store points with vectors, links, beam and recall."""
+        n, segments, hot = _layout(rows)
 
-    def _write(self, rows: DataFrame) -> str:
-        """Build a shard's graphs, one per segment, and store points with their links."""
-        no = self.made
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = _sorted(pdf)
+            if "vector" not in pdf:
+                pdf["vector"] = [v.tobytes() for v in embed(pdf["text"].tolist()).astype(np.float16)]
+            x = np.frombuffer(b"".join(pdf["vector"]), np.float16).reshape(len(pdf), DIM).astype(np.float32)
+            graph = SmallWorld(x, pdf["route"].to_numpy())
+            graph.tune()
+            pdf["links"], pdf["beam"], pdf["recall"] = graph.stored_links(), graph.beam, graph.recall
+            return pdf[[c.split()[0] for c in POINT.split(", ")]]
+
+        path = f"{self.path}/shard-{self.made:06d}"
         self.made += 1
+        _in_cells(rows, segments, hot, held=True).groupBy("cell").applyInPandas(build, POINT).write.parquet(path)
+        return Shard(path, n, segments, hot)
 
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["route", "id"], kind="stable").reset_index(drop=True)
-            graph = SmallWorld(embed(pdf["text"].tolist()), pdf["route"].to_numpy())
-            pdf["links"] = list(graph.links)
-            pdf["shard"] = no
-            return pdf[[c.split()[0] for c in SHARD.split(", ")]]
+    def read(self, shard: Shard) -> DataFrame:
+        return self.spark.read.schema(POINT).parquet(shard.path)
 
-        path = f"{self.path}/shard-{no:06d}"
-        keyed = rows.withColumn("segment", F.pmod("route", F.lit(self.segments)))
-        keyed.groupBy("segment").applyInPandas(build, SHARD).write.parquet(path)
-        return path
+    def recalls(self) -> DataFrame:
+        """(path, cell, rows, beam, recall) of every cell: the beam it is searched with and the part of close neighbours that beam finds.
+
+        Cells below TARGET are searched exhaustively.
+        """
+        out = self.spark.createDataFrame([], "path string, cell long, rows long, beam int, recall double")
+        for s in self.shards:
+            out = out.unionByName(self.read(s).groupBy("cell").agg(F.count("*").alias("rows"), F.max("beam").alias("beam"), F.min("recall").alias("recall")).withColumn("path", F.lit(s.path)))
+        return out
+
+    def touched(self, batch: DataFrame, shard: Shard) -> tuple[DataFrame, DataFrame]:
+        """(routed rows of the batch, points of the shard) that can meet, with their cells."""
+        asked = _in_cells(batch, shard.segments, shard.hot, held=False)
+        points = self.read(shard)
+        if shard.segments > FEW_CELLS:
+            cells = [r.cell for r in asked.select("cell").distinct().limit(FEW_CELLS + 1).collect()]
+            if len(cells) <= FEW_CELLS:
+                points = points.where(F.col("cell").isin(cells))
+        return asked, points.join(batch.select("route").distinct(), "route", "left_semi")
 
     def lookup(self, batch: DataFrame) -> DataFrame:
-        """(id_b, id_a) links of a prepared batch to all shards; a batch row meets each shard of its segment."""
+        """(id_b, id_a): the first sighting in any shard that a row of a routed batch repeats; each cell meets the rows that route to it."""
 
-        def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        def find(asked: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
             out = []
-            if len(left) and len(right):
-                left["user"] = left["user"].astype(object).where(left["user"].notna(), None)
-                right["user"] = right["user"].astype(object).where(right["user"].notna(), None)
-                qx = embed(left["text"].tolist())
-                for _, base in right.groupby("shard"):
-                    base = base.sort_values(["route", "id"], kind="stable").reset_index(drop=True)
-                    graph = SmallWorld(embed(base["text"].tolist()), base["route"].to_numpy(), np.stack(base["links"].to_numpy()).astype(np.int32))
-                    graph.tune()
-                    out += _matches(graph, base, left, qx, False)
+            if len(asked) and len(points):
+                base = _sorted(points)
+                out = _matches(_graph_of(base), base, asked, embed(asked["text"].tolist()))
             return pd.DataFrame(out, columns=["id_b", "id_a"], dtype="int64")
 
-        keyed = batch.withColumn("segment", F.pmod("route", F.lit(self.segments)))
-        return keyed.groupBy("segment").cogroup(self._read().groupBy("segment")).applyInPandas(find, "id_b long, id_a long").groupBy("id_b").agg(F.min("id_a").alias("id_a"))
+        both = [(k, *self.touched(batch, s)) for k, s in enumerate(self.shards)]
+        asked, points = (None, None)
+        for k, q, p in both:
+            q, p = (df.withColumn("shard", F.lit(k)) for df in (q.select("cell", *COLUMNS), p))
+            asked, points = (q, p) if asked is None else (asked.unionByName(q), points.unionByName(p))
+        met = asked.groupBy("shard", "cell").cogroup(points.groupBy("shard", "cell")).applyInPandas(find, LINK)
+        return met.groupBy("id_b").agg(F.min("id_a").alias("id_a"))
+
+    def _within(self, batch: DataFrame) -> DataFrame:
+        """(id_b, id_a): the first row of the same batch that a row repeats."""
+        held = batch.where("held")
+        _, segments, hot = _layout(held)
+
+        def find(pdf: pd.DataFrame) -> pd.DataFrame:
+            base = _sorted(pdf[pdf["held"]])
+            asked = pdf[~pdf["held"]]
+            x = embed(base["text"].tolist())
+            graph = SmallWorld(x, base["route"].to_numpy())
+            graph.tune()
+            alone = graph.size[graph.group] == 1
+            out = [] if alone.all() else _matches(graph, base, base[~alone], x[~alone])
+            if len(asked) and len(base):
+                out += _matches(graph, base, asked, embed(asked["text"].tolist()))
+            return pd.DataFrame(out, columns=["id_b", "id_a"], dtype="int64")
+
+        # a held row is asked in its own chunk as a point of it, and in the chunks before
+        own = _in_cells(held, segments, hot, held=True)
+        asked = _in_cells(batch if hot is not None else batch.where("NOT held"), segments, hot, held=False).withColumn("held", F.lit(False))
+        met = own.unionByName(asked.select(*own.columns)).groupBy("cell").applyInPandas(find, LINK)
+        return met.groupBy("id_b").agg(F.min("id_a").alias("id_a"))
+
+    def load(self, rows: DataFrame) -> DataFrame:
+        """(id_b, id_a) of prepared rows (id, key, user, turn_idx, text), each id once; the others are accepted and indexed."""
+        self.compact()
+        batch = materialise(routed(rows).drop("key"), "batch")
+        found = None
+        if self.shards:
+            found = materialise(self.lookup(batch), "repeats")
+            batch = batch.join(found.select(F.col("id_b").alias("id")), "id", "left_anti")
+        own = materialise(self._within(batch), "within")
+        linked = own.select(F.col("id_b").alias("id"))
+        accepted = materialise(batch.where("held").select(*COLUMNS).join(linked, "id", "left_anti"), "accepted")
+        self.shards.append(self._write(accepted))
+        # a row is a repeat if the first row it is like was accepted; else it is looked up again, among what was
+        up = own.select(F.col("id_b").alias("id_a"))
+        repeats = own.join(up, "id_a", "left_anti").select("id_b", "id_a")
+        repeats = repeats if found is None else repeats.unionByName(found.select("id_b", "id_a"))
+        doubtful = materialise(own.join(up, "id_a", "left_semi").select(F.col("id_b").alias("id")), "doubtful")
+        if doubtful.head(1):
+            repeats = repeats.unionByName(self.load(rows.join(doubtful, "id", "left_semi")))
+        return repeats
 
     def add(self, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(accepted rows of the batch, repeats (id_b, id_a)). Rows without comparable keys are accepted but not indexed."""
-        batch = materialise(routed(prepare(findings).dropDuplicates(["id"])).drop("key"), "batch")
-        repeats = materialise(self.lookup(batch), "repeats") if self.shards else self.spark.createDataFrame([], "id_b long, id_a long")
-        fresh = batch.where("held").drop("held").join(repeats.select(F.col("id_b").alias("id")), "id", "left_anti")
-        self.shards.append(self._write(fresh))
-        if len(self.shards) > self.most:
-            self.compact()
+        """(accepted rows of a batch, repeats (id_b, id_a)). Rows without comparable keys are accepted but not indexed; a batch's ids are above those before."""
+        repeats = materialise(_ingest(self, prepare(findings), [])[0], "repeats")
         return findings.join(repeats.select(F.col("id_b").alias("id")), "id", "left_anti"), repeats
 
     def compact(self) -> None:
-        """Merge all shards into one."""
-        rows = self._read().drop("segment", "shard", "links")
-        self.shards = [self._write(rows)]
+        """The schedule: merge the last two shards while the later is at least half as large; vectors are kept, links made anew."""
+        while len(self.shards) > 1 and 2 * self.shards[-1].rows >= self.shards[-2].rows:
+            last, before = self.shards.pop(), self.shards.pop()
+            rows = self.read(before).unionByName(self.read(last)).select(*COLUMNS, "vector")
+            self.shards.append(self._write(rows))
+
+
+def _ingest(index: HistoryIndex, prepared: DataFrame, bounds: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(repeats (id_b, id_a), materialised prepared rows) of rows loaded in order of their ids, a load up to each bound.
+
+    Exact copies are collapsed to the first of them before, and follow it after.
+    """
+    exact = ["key", "user", "turn_idx", "text"]
+    prepared = materialise(prepared.select("id", *exact), "prepared")
+    rows = prepared.groupBy(*exact).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    rows = materialise(rows, "sightings")
+    parts, low = [], None
+    for high in [*bounds, None]:
+        part = rows
+        part = part if low is None else part.where(F.col("id") > low)
+        part = part if high is None else part.where(F.col("id") <= high)
+        parts.append(index.load(part.select("id", *exact)))
+        low = high
+    first = parts[0]
+    for p in parts[1:]:
+        first = first.unionByName(p)
+    first = materialise(first, "first")
+    copied = rows.where("copies > 1").select("id", *exact)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in exact]
+    again = prepared.alias("a").join(copied.alias("b"), same).where("a.id <> b.id").select(F.col("a.id").alias("id_b"), F.col("b.id").alias("id_a"))
+    again = again.distinct().join(first.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("first")), "id_a", "left").select("id_b", F.coalesce("first", "id_a").alias("id_a"))
+    return first.select("id_b", "id_a").unionByName(again), prepared
+
+
+def replay(findings: DataFrame, loads: tuple[float, ...] = (0.25, 0.5)) -> DataFrame:
+    """(id_a, id_b): each finding that repeats a sighting accepted in an earlier batch, with the accepted one.
+
+    The table's batches go through a HistoryIndex in the order of their ids.
+    As there are tens of thousands of them, neighbouring batches share a load
+    and its shard, up to each of the given parts of the ids (see HistoryIndex:
+    what comes out does not depend on how the rows are cut into batches).
+    Findings that repeat one of their own batch don't come out.
+    """
+    ids = findings.where("id IS NOT NULL")
+    bounds = sorted({int(x) for x in ids.approxQuantile("id", list(loads), 0.01)}) if loads else []
+    pairs, _ = _ingest(HistoryIndex(findings.sparkSession), prepare(findings), bounds)
+    batch = ids.select("id", "scan_id").distinct()
+    named = pairs.join(batch.select(F.col("id").alias("id_a"), F.col("scan_id").alias("scan_a")), "id_a").join(batch.select(F.col("id").alias("id_b"), F.col("scan_id").alias("scan_b")), "id_b")
+    return named.where(~F.col("scan_a").eqNullSafe(F.col("scan_b"))).select("id_a", "id_b").distinct()
