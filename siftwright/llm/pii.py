@@ -28,6 +28,8 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in LABELS[1:]}
 TRAIN_TEXTS = 6000  # texts that the field is fitted on, the first by a hash of the text
 COMMON_RATE = 12 / 24_000  # share of the texts that hold an everyday word
 BUCKETS = 1 << 15
+BARE = "bare"  # the feature of a pair that neither its letters nor the words before it make a name
+BARE_PRIOR, SKIP_PRIOR = 2.0, 4.0  # what the weights start from: such a pair is none, and the same wording has the same label
 
 _LATIN = "A-Za-z0-9_\u00c0-\u024f"  # scripts without spaces may stand right beside a span
 _AT = r"(?:\s?@\s?|%40|\s?[\[(]\s?at\s?[\])]\s?)"
@@ -46,6 +48,26 @@ _STREETS = (
         re.compile(r"\b(?:calle|c/|avda|avenida|paseo|plaza|pza|camino|ronda|travesía|carrera)", re.I),
         re.compile(rf"(?:\bcalle|\bc/|\bavda\.?|\bavenida|\bpaseo|\bplaza|\bpza\.?|\bcamino|\bronda|\btravesía|\bcarrera)(?: [{_LATIN}'-]+){{1,5}},? ?(?:n[ºo°.]* ?)?\d{{1,4}}(?![{_LATIN}])(?:\s?[-,]\s?\d{{5}} [{_LATIN}-]+)?", re.I),
     ),
+    (
+        re.compile(r"\d(?: bis| ter)?,? (?:rue|avenue|boulevard|place|quai|impasse|allée|chemin|cours|route) ", re.I),
+        re.compile(rf"(?<![{_LATIN}])\d{{1,4}}(?: bis| ter)?,? (?i:rue|avenue|boulevard|place|quai|impasse|allée|chemin|cours|route)(?: de| du| des| la| le)*(?: (?:d['’]|l['’])?[A-Z\u00c0-\u00de][{_LATIN}'’-]+){{1,3}}(?:,? \d{{5}} [{_LATIN}-]+)?"),
+    ),
+    (
+        re.compile(r"\b(?:Via|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Tt]ravessa|[Pp]raça|ul\.|ulica) "),
+        re.compile(rf"\b(?:Via|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Tt]ravessa|[Pp]raça|ul\.|ulica)(?: (?:d[aeio]l?l?[aeio]?|dos|das))?(?: [A-Z\u00c0-\u017d][a-z\u00df-\u024f][{_LATIN}'’-]*){{1,3}},? (?:n[º°.]* ?)?\d{{1,4}}[a-z]?(?![{_LATIN}])"),
+    ),
+    (
+        re.compile(r"(?:straat|laan|plein|gracht|kade|gatan|vägen|gade|vej) \d", re.I),
+        re.compile(rf"(?<![{_LATIN}])[A-Z][{_LATIN}-]*(?:straat|laan|plein|gracht|kade|gatan|vägen|gade|vej) \d{{1,4}} ?[a-z]?(?![{_LATIN}])"),
+    ),
+    (
+        re.compile(r"(?:ул\.|улица|проспект|пр-т|переулок|пер\.|набережная)"),
+        re.compile(r"(?:ул\.|улица|проспект|пр-т|переулок|пер\.|набережная) ?[А-ЯЁ][А-Яа-яё-]+(?: [А-ЯЁ][а-яё-]+)?,? ?(?:д\.|дом)? ?\d{1,4}[а-я]?(?:,? ?(?:кв\.|квартира) ?\d{1,4})?"),
+    ),
+    (
+        re.compile(r"(?:路|街|大道|巷|弄)\d"),
+        re.compile(r"[\u4e00-\u9fff]{2,12}(?:路|街|大道|巷|弄)\d{1,5}[号號](?:[\u4e00-\u9fff\d]{1,8}[室楼])?"),
+    ),
 )
 # Words that announce what follows.
 _ID_WORDS = re.compile(r"\b(?:ssn|social security|dni|nie|nif|sozialversicherung|social_security|passport|pasaporte|reisepass|licen[cs]e|licencia|führerschein|steuer-?id|tax[ _-]?id|national[ _-]?id|nacional|identity|identidad|personalausweis|ausweis|insurance n|citizen|id[ _-]?(?:card|number|no|nummer))", re.I)
@@ -55,11 +77,13 @@ _CUE = r"(?:\b(?:my name is|name is|i'm|i am|according to|told|letter out to|spo
 _NAME_CUE = re.compile(_CUE + r"[ \t]*$", re.I)
 _NAME_WORD = r"[A-Z\u00c0-\u024f][A-Za-z\u00c0-\u024f\u0300-\u036f'’]+"
 _STRONG_NAME = re.compile(rf"({_NAME_WORD})((?: [A-Z]\.| von| van| de| al)*) ((?:al-|O['’]|von )?{_NAME_WORD}(?:-{_NAME_WORD})?)")
+_HAN_NAME = re.compile(r"(?:我叫|我的名字(?:是|叫)|姓名[:：]|联系人[:：]|患者[:：]|名前は|氏名[:：])\s*([\u4e00-\u9fff]{2,4}?)(?=[，。、,.;；!！\s]|$|です|と申|先生|女士)")
 _GLUED = re.compile(r"['’]s?$|(?<=[a-z]{3})[A-Z]|(?<=[A-Z]{3})[a-z]{2}")  # where what follows a surname without a space begins
 _UNIT = re.compile(r"\d ?ms[ \t]*$")  # milliseconds, no title
 _WORDS = re.compile(r"\w+|[^\w\s]")
 
 
+_PLAIN = re.compile(r"[^\W\d_]{2,}")
 _LONG_WORD = re.compile(r"[^\W\d_][^\W\d_'’-]{4,}")
 
 
@@ -76,23 +100,29 @@ def fold(text: str) -> str:
     return text if text.isascii() else _MARKED.sub(lambda m: _FOLD[m.group()], text)
 
 
-def announced(text: str):
-    """(start, end, first name, surname) of capitalised pairs right behind a word that announces a name."""
+def pairs(text: str):
+    """(start, end, first name, surname, announced) of capitalised pairs; announced: right behind a word that announces a name."""
     at = 0
     while m := _STRONG_NAME.search(text, at):
         at = m.end(1)
         left = text[max(0, m.start() - 24) : m.start()]
-        if not _NAME_CUE.search(left) or _UNIT.search(left):
-            continue
         first, last = m.group(1), _GLUED.split(m.group(3), maxsplit=1)[0]
         if first[0].isupper() and any(c.isupper() for c in last[:5]) and first.lower() not in _TITLES:
-            at = m.start(3) + len(last)
-            yield m.start(), at, first, last
+            told = bool(_NAME_CUE.search(left)) and not _UNIT.search(left)
+            if told:
+                at = m.start(3) + len(last)
+            yield m.start(), m.start(3) + len(last), first, last, told
+
+
+def announced(text: str):
+    """(start, end, first name, surname) of the announced pairs."""
+    return ((a, b, first, last) for a, b, first, last, told in pairs(text) if told)
 
 
 class Lexicon:
     """Endings of surnames and first names, learned from the names that clear contexts announce."""
 
+    # common: the everyday words, those that at least COMMON_RATE of the texts write in lower case (so 1 / COMMON_RATE times a text's words at most)
     def __init__(self, endings: set[str], firsts: set[str], common: set[str] = frozenset()):
         self.endings, self.firsts, self.common = endings, firsts, common
         tail = "|".join(sorted(map(re.escape, endings))) or r"(?!)"
@@ -105,7 +135,7 @@ class Lexicon:
     def learn(cls, texts: list[str]) -> Lexicon:
         counts = Counter(x for t in texts for x in heard(t))
         endings, firsts = cls.known((kind, word, n) for (kind, word), n in counts.items())
-        plain = Counter(w for t in texts for w in plain_words(t, endings))
+        plain = Counter(w for t in texts for w in plain_words(t))
         return cls(endings, firsts, {w for w, n in plain.items() if n >= common_least(len(texts))})
 
     @staticmethod
@@ -115,6 +145,10 @@ class Lexicon:
         endings = {w for kind, w, n in counts if kind == "end" and n >= 3 and re.fullmatch(r"[a-z\u00df-\u024f]{4}", w)}
         return endings, {w for kind, w, n in counts if kind == "first" and n >= 2}
 
+    def rare(self, *words: str) -> bool:
+        """None of the words, nor a part of them, is an everyday one."""
+        return not any(w in self.common for x in words for w in _PLAIN.findall(fold(x).lower()))
+
     def names(self, text: str, low: str):
         """Pairs of a first name and a surname of the lexicon, written alike (Title, UPPER or lower); accents do not count."""
         ends, whole, text = self.endings, text, fold(text)
@@ -142,9 +176,9 @@ def heard(text: str):
         yield "first", fold(first.lower())
 
 
-def plain_words(text: str, endings: set[str]) -> set[str]:
-    """The words of a text in lower case that end like a surname."""
-    return {w for w in set(_LONG_WORD.findall(fold(text))) if w[-4:] in endings and w.islower()}
+def plain_words(text: str) -> set[str]:
+    """The words that a text writes in lower case."""
+    return {w for w in set(_PLAIN.findall(fold(text))) if w.islower()}
 
 
 def common_least(texts: int) -> float:
@@ -170,7 +204,15 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
                 take((m.span() for m in pattern.finditer(text)), "address")
         take((m.span() for m in _NUMBER.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7 and not _DATE.match(m.group()) and not _IP.match(m.group())), "number")
     take(lexicon.names(text, low), "name")
-    take(((a, b) for a, b, _, _ in announced(text)), "name")
+    # every capitalised pair is a variable, whatever its letters, if it is announced or holds no everyday word
+    both = [p for p in pairs(text) if p[4] or lexicon.rare(p[2], p[3])]
+    take(((a, b) for a, b, _, _, told in both if told), "name")
+    if both:
+        named = {skip_key(text[a:b], s) for a, b, s in spans if s == "name"}
+        take(((a, b) for a, b, *_ in both if skip_key(text[a:b], "name") in named), "name")
+        take(((a, b) for a, b, *_ in both), "name")
+    if not text.isascii():
+        take((m.span(1) for m in _HAN_NAME.finditer(text)), "name")
     return sorted(spans)
 
 
@@ -215,8 +257,10 @@ def weak_label(text: str, a: int, b: int, shape: str, lexicon: Lexicon) -> str |
     first = (m.group("first") or m.group("first2") or "").lower() if m else ""
     if m and (m.group("last") or m.group("last2")).lower() in lexicon.common:
         return "none"  # the surname is an everyday word of the corpus
-    if first in lexicon.firsts or (_NAME_CUE.search(left) and span[:1].isupper()):
+    if first in lexicon.firsts or (_NAME_CUE.search(left) and span[:1].isupper()) or not span[:1].isascii():
         return "name"
+    if not m:
+        return "none"  # a pair that neither its letters nor the words around it make a name; skip edges may
     return "none" if first in ("the", "a", "an", "of", "and", "my", "der", "die", "das", "el", "la", "und", "y", "zu", "am", "is", "for", "this", "that", "about") else None
 
 
@@ -237,7 +281,9 @@ def features(text: str, a: int, b: int, shape: str, lexicon: Lexicon) -> list[in
         f += [f"tld={span.lower()[-4:]}", f"alpha={span[-1:].isalpha()}", f"local={span.lower()[:4]}", f"url={'://' in left}"]
     elif shape == "name":
         words = _WORDS.findall(fold(span.lower()))
-        f += [f"first={w}" for w in words[:1]] + [f"last={words[-1][-4:]}", f"known={any(w in lexicon.firsts for w in words)}", f"cue={bool(_NAME_CUE.search(left))}", f"plain={any(w in lexicon.common for w in words)}"]
+        f += [f"first={w}" for w in words[:1]] + [f"last={w[-4:]}" for w in words[-1:]] + [ f"known={any(w in lexicon.firsts for w in words)}", f"end={bool(words) and words[-1][-4:] in lexicon.endings}", f"han={'一' <= span[:1] <= '鿿'}", f"start={not left.strip() or left.rstrip()[-1:] in '.!?:'}", f"cue={bool(_NAME_CUE.search(left))}", f"plain={any(w in lexicon.common for w in words)}"]
+        if not (_NAME_CUE.search(left) or "一" <= span[:1] <= "鿿" or any(w in lexicon.firsts for w in words) or (words and words[-1][-4:] in lexicon.endings)):
+            f.append(BARE)
     return [zlib.crc32(x.encode()) % BUCKETS for x in f]
 
 
@@ -258,7 +304,8 @@ class Field:
         self.lexicon = lexicon
         self.unary = np.zeros((BUCKETS, k), np.float32)
         self.chain = np.zeros((k, k), np.float32)
-        self.skip = np.zeros((k, k), np.float32)
+        self.skip = SKIP_PRIOR * np.eye(k, dtype=np.float32)
+        self.unary[zlib.crc32(BARE.encode()) % BUCKETS, 0] = BARE_PRIOR
 
     @staticmethod
     def edges(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, bool]]:
@@ -314,6 +361,9 @@ class Field:
             if not spans:
                 continue
             gold = [weak_label(t, *s, self.lexicon) for s in spans]
+            # the same wording as a name of this text is a name too: what skip edges are learned from
+            named = {skip_key(t[a:b], shape) for (a, b, shape), g in zip(spans, gold, strict=True) if g == "name"}
+            gold = ["name" if shape == "name" and g != "name" and skip_key(t[a:b], shape) in named else g for (a, b, shape), g in zip(spans, gold, strict=True)]
             if any(g is not None for g in gold):
                 docs.append(([np.array(features(t, *s, self.lexicon)) for s in spans], self.edges(t, spans), [None if g is None else LABELS.index(g) for g in gold]))
         for epoch in range(epochs):
@@ -348,15 +398,16 @@ class Field:
         top2 = np.partition(scores, -2, axis=1)[:, -2:]
         margin = top2[:, 1] - top2[:, 0]
         reach = 2 * max(float(np.ptp(self.chain)), 1e-9)
-        jump = 2 * max(float(np.ptp(self.skip)), 1e-9)
         out, at = [], 0
         for t, spans in zip(texts, all_spans, strict=True):
             n = len(spans)
             own = scores[at : at + n]
             best = own.argmax(1) if n else []
-            # messages cannot overturn a span whose lead exceeds all they can carry
-            if n > 1 and (margin[at : at + n] < 2 * (reach + jump)).any():
-                best = self.beliefs(own, self.edges(t, spans))[0].argmax(1)
+            if n > 1:
+                # messages cannot overturn a span whose lead exceeds all that its neighbours can carry, nor those whose like agree
+                edges = self.edges(t, spans)
+                if (margin[at : at + n] < 2 * reach).any() or any(skip and best[i] != best[j] for i, j, skip in edges):
+                    best = self.beliefs(own, edges)[0].argmax(1)
             out.append([(a, b, LABELS[k]) for (a, b, _), k in zip(spans, best, strict=True) if k])
             at += n
         return out
@@ -380,9 +431,7 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
         return [(r.kind, r.word, r.n) for r in parts.groupBy("kind", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()]
 
     endings, firsts = Lexicon.known(count(heard, 2))
-    if not endings:
-        return Lexicon(endings, firsts)
-    common = count(lambda t: (("plain", w) for w in plain_words(t, endings)), common_least(texts.count()))
+    common = count(lambda t: (("plain", w) for w in plain_words(t)), common_least(texts.count()))
     return Lexicon(endings, firsts, {w for _, w, _ in common})
 
 
