@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from typing import NamedTuple
 
@@ -161,11 +162,43 @@ def needle(rule: Rule) -> str | None:
     return text if len(text) >= 3 and "|" not in rest.split("[")[0].split("(")[0] else None
 
 
+NEAR = 200  # characters within which a registered rule's context keyword must stand
+
+
 def register_rule(rules: list[Rule], spec: dict) -> list[Rule]:
     """The rules with one more, from a mapping as a rule file holds it: id, name, severity, pattern, min_entropy, context_keywords."""
+    for name in ("id", "pattern"):
+        if not spec.get(name):
+            raise ValueError(f"a rule needs {name}")
     if any(r.id == spec["id"] for r in rules):
         raise ValueError(f"rule {spec['id']} is already registered")
+    if spec.get("severity", "medium") not in ("low", "medium", "high"):
+        raise ValueError("severity must be low, medium or high")
     re.compile(spec["pattern"])
-    entropy = float(spec.get("min_entropy") or 0)
-    more = Rule(spec["id"], spec.get("name", spec["id"]), "credential", spec.get("severity", "medium"), "entropy" if entropy else "", entropy, spec["pattern"], 0, tuple(spec.get("context_keywords") or ()), False)
+    entropy, words = float(spec.get("min_entropy") or 0), tuple(spec.get("context_keywords") or ())
+    pattern = spec["pattern"]
+    if words:  # one of them at most NEAR characters before the match or behind it
+        any_of = "|".join(map(re.escape, words))
+        pattern = rf"(?:(?<=(?:{any_of})[\s\S]{{0,{NEAR}}})|(?=(?:{pattern})[\s\S]{{0,{NEAR}}}(?:{any_of})))(?:{pattern})"
+    more = Rule(spec["id"], spec.get("name", spec["id"]), "credential", spec.get("severity", "medium"), "entropy" if entropy else "", entropy, pattern, 0, words, False)
     return [*rules, more]
+
+
+def load_rules(path: str, rules: list[Rule] = RULES) -> list[Rule]:
+    """The rules with those of a rule file (one, or a list of them): JSON, or YAML where a YAML package is there."""
+    with open(path) as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("rule files in YAML need the package yaml") from e
+        specs = yaml.safe_load(text)
+    else:
+        specs = json.loads(text)
+    for spec in specs if isinstance(specs, list) else [specs]:
+        unknown = set(spec) - {"id", "name", "severity", "pattern", "min_entropy", "context_keywords", "description", "references"}
+        if unknown:
+            raise ValueError(f"unknown fields {sorted(unknown)}")
+        rules = register_rule(rules, spec)
+    return rules

@@ -128,25 +128,25 @@ def _finish(rows: DataFrame, marker: str = FAKE_MARKER) -> DataFrame:
 TEXT = ["file_path", "turn_idx", "role", "content", "transforms", "span_kind", "contributing_turns", "border"]
 
 
-def _texts(rows: DataFrame, content: str = "content", transforms: Column | None = None, kind: str = "single", turns: Column | None = None, border: Column | None = None) -> DataFrame:
+def texts_of(rows: DataFrame, content: str = "content", transforms: Column | None = None, kind: str = "single", turns: Column | None = None, border: Column | None = None) -> DataFrame:
     """Rows as texts to be matched: plain, decoded or joined; border is where the later turn begins in a joined one."""
     chain = F.array().cast("array<string>") if transforms is None else transforms
     from_turns = F.array().cast("array<bigint>") if turns is None else turns
     return rows.select("file_path", F.col("turn_idx").cast("long").alias("turn_idx"), "role", F.col(content).alias("content"), chain.alias("transforms"), F.lit(kind).alias("span_kind"), from_turns.alias("contributing_turns"), (F.lit(None) if border is None else border).cast("int").alias("border"))
 
 
-def _find(texts: DataFrame, rules: list[Rule], strict_keywords: bool = True) -> DataFrame:
+def find_in(texts: DataFrame, rules: list[Rule], strict_keywords: bool = True) -> DataFrame:
     rows = validated(matches(texts, "content", rules, strict_keywords), rules)
     return _finish(rows.where("border IS NULL OR (byte_start < border AND byte_end > border)"))
 
 
 def plain_texts(turns: DataFrame) -> DataFrame:
-    return _texts(turns.where("content IS NOT NULL AND content <> ''"))
+    return texts_of(turns.where("content IS NOT NULL AND content <> ''"))
 
 
 def detect(turns: DataFrame, rules: list[Rule] = RULES, strict_keywords: bool = True) -> DataFrame:
     """Findings in the contents as they stand, with byte ranges within the turn."""
-    return _find(plain_texts(turns), rules, strict_keywords)
+    return find_in(plain_texts(turns), rules, strict_keywords)
 
 
 _B64 = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}")
@@ -230,11 +230,11 @@ def decode_layers(turns: DataFrame, max_depth: int = 2, max_bytes: int | None =
 
 def detect_decoded(turns: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Findings inside base64, hex and percent-encoded payloads, up to two layers deep; ranges are within the decoded text."""
-    return _find(decoded_texts(turns), rules)
+    return find_in(decoded_texts(turns), rules)
 
 
 def decoded_texts(turns: DataFrame) -> DataFrame:
-    return _texts(decode_layers(turns), "decoded", F.col("chain"))
+    return texts_of(decode_layers(turns), "decoded", F.col("chain"))
 
 
 def joined_texts(turns: DataFrame, lookback: int = 3, least: int = 8, tail: int = 128, large: bool | None = None) -> DataFrame:
@@ -253,12 +253,12 @@ def joined_texts(turns: DataFrame, lookback: int = 3, least: int = 8, tail: int
     pairs = cut.withColumn("p", F.array(*[F.lag(F.struct("end", F.col("turn_idx").alias("prev")), k).over(w) for k in range(1, lookback + 1)])).where("own")
     pairs = pairs.where(F.octet_length("start") >= least).select("file_path", "turn_idx", "role", "start", F.explode(F.filter("p", lambda x: F.octet_length(x["end"]) >= least)).alias("p"))
     joined = pairs.select("file_path", "turn_idx", "role", F.concat("p.end", "start").alias("joined"), F.octet_length("p.end").alias("border"), F.array("p.prev", "turn_idx").alias("both"))
-    return _texts(joined, "joined", kind="cross_turn", turns=F.col("both"), border=F.col("border"))
+    return texts_of(joined, "joined", kind="cross_turn", turns=F.col("both"), border=F.col("border"))
 
 
 def detect_across(turns: DataFrame, rules: list[Rule] = RULES, lookback: int = 3, least: int = 8, tail: int = 128) -> DataFrame:
     """Findings that lie across the end of a turn and the start of one of the next `lookback` turns of its file; attributed to the later turn."""
-    return _find(joined_texts(turns, lookback, least, tail), rules)
+    return find_in(joined_texts(turns, lookback, least, tail), rules)
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def scan(turns: DataFrame, rules: list[Rule] = RULES, include_synthetic: bool =
     """The whole scan: plain, decoded and cross-turn findings, once per fingerprint, with their context."""
     large = large_groups(turns.select("file_path"), ["file_path"])
     texts = plain_texts(turns).unionByName(decoded_texts(turns)).unionByName(joined_texts(turns, large=large))
-    found = _find(texts, rules)
+    found = find_in(texts, rules)
     if not include_synthetic:
         found = found.where(~F.col("synthetic"))
     found = dedupe(found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions.scalars import byte_slice, hmac_sha256
@@ -73,3 +73,26 @@ def redact(turns: DataFrame, findings: DataFrame, mode: str = "mask", salt: byte
     rest = F.array_join(F.transform("s", lambda x, i: F.concat(x["new"], gap(x, i))), "")
     whole = F.concat(byte_slice(F.col("content"), F.lit(0), F.get("s", F.lit(0))["byte_start"]), rest)
     return rows.withColumn("content", F.when(F.col("s").isNull(), F.col("content")).otherwise(whole)).select(*turns.columns)
+
+
+def redact_texts(spark: SparkSession, paths: list[str] | str, findings: DataFrame, mode: str = "mask", salt: bytes = b"") -> DataFrame:
+    """(file_path, content) of whole text files with the spans of their findings replaced, as a findings report names them.
+
+    findings: file_path, detector_id, byte_start, byte_end (see
+    sources.parsers.read_findings_json); only those of a file apply to it, and
+    ranges are within the file. A finding without a range (one that comes from
+    history, or lies in a decoded layer), or whose range goes beyond the file,
+    is passed over.
+    """
+    files = spark.read.text(paths, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("file_path"), F.lit(0).cast("long").alias("turn_idx"), F.col("value").alias("content"))
+    sizes = files.select("file_path", F.octet_length("content").alias("size"))
+    usable = findings.where("byte_end > byte_start").join(sizes, "file_path").where("byte_end <= size")
+    transforms = F.col("transforms") if "transforms" in findings.columns else F.array().cast("array<string>")
+    spans = usable.select("file_path", F.lit(0).cast("long").alias("turn_idx"), "detector_id", "byte_start", "byte_end", transforms.alias("transforms"), F.lit("single").alias("span_kind"))
+    return redact(files, spans, mode, salt).select("file_path", "content")
+
+
+def write_redacted(redacted: DataFrame, folder: str) -> None:
+    """Write redacted files below a folder of the shared file system, `name=<file name>` each; the originals stay."""
+    name = F.element_at(F.split("file_path", "/"), -1)
+    redacted.select(name.alias("name"), F.col("content").alias("value")).write.mode("overwrite").partitionBy("name").text(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,30 +31,34 @@ def to_json(findings: DataFrame) -> DataFrame:
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """Distinct rules with their position by first sight in order of file, turn and place."""
     seen = findings.groupBy("detector_id").agg(F.min(F.struct("file_path", "turn_idx", "byte_start")).alias("first"), F.count("*").alias("results"))
-    from pyspark.sql import Window
-
     return seen.select("detector_id", "results", F.row_number().over(Window.orderBy("first", "detector_id")).alias("position"))  # one row per rule
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
+def sarif_results(findings: DataFrame, *keep: str) -> DataFrame:
     """`result`: a SARIF result object per finding, for a writer to put into runs[0].results."""
     level = F.when(F.col("confidence") == "high", "error").when(F.col("confidence") == "medium", "warning").otherwise("note")
     label = F.coalesce(F.nullif("display_name", F.lit("")), F.col("detector_id"))
     text = F.concat(label, F.lit(" detected at bytes "), F.col("byte_start"), F.lit(".."), F.col("byte_end"), F.lit("  excerpt: "), F.col("excerpt"))
     place = F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("byte_start").alias("byteOffset"), (F.col("byte_end") - F.col("byte_start")).alias("byteLength")).alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("detector_id").alias("ruleId"), level.alias("level"), F.struct(text.alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("findingFingerprint/v1")).alias("partialFingerprints"), F.struct(F.col("context_class").alias("contextClass"), F.col("category").alias("category")).alias("properties"))
-    return findings.select("fingerprint", F.to_json(result).alias("result"))
+    return findings.select("fingerprint", *keep, F.to_json(result).alias("result"))
 
 
-def write_sarif(findings: DataFrame, path: str, version: str = "0") -> None:
-    """One SARIF file per partition under path: each a whole log over its part of the results, so no task holds all of them."""
+def by_file(findings: DataFrame) -> DataFrame:
+    """(file_path, high, medium, low, findings, turns) of each file with findings."""
+    return findings.groupBy("file_path").agg(*[F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")], F.count("*").alias("findings"), F.countDistinct("turn_idx").alias("turns"))
 
-    def run(batches):
-        for pdf in batches:
-            rules = ",".join('{"id":"%s","defaultConfiguration":{"level":"error"}}' % r for r in dict.fromkeys(pdf["detector_id"]))
-            log = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"siftwright","version":"%s","rules":[%s]}},"results":[%s]}]}' % (version, rules, ",".join(pdf["result"]))
-            pdf = pdf.iloc[:1][["detector_id"]].assign(value=log)[["value"]]
-            yield pdf
 
-    rows = sarif_results(findings).join(findings.select("fingerprint", "detector_id").distinct(), "fingerprint")
-    rows.mapInPandas(run, "value string").write.mode("overwrite").text(path)
+def write_sarif(findings: DataFrame, path: str, version: str = "0") -> None:
+    """One SARIF log, a file of lines in a folder: head with the rules, a result a line in order of file, turn and place, end.
+
+    The results pass through one task, sorted and spilled, as a log is one
+    file; they are not held. Rules are those that have results.
+    """
+    rules = ",".join('{"id":"%s"}' % r.detector_id for r in sarif_rules(findings).orderBy("position").collect())  # as many as there are rules
+    head = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"siftwright","version":"%s","rules":[%s]}},"results":[' % (version, rules)
+    order = ["file_path", "turn_idx", "byte_start", "detector_id", "fingerprint"]
+    rows = sarif_results(findings, *order[:4]).withColumn("n", F.row_number().over(Window.orderBy(*order, "result")))
+    lines = rows.select(F.lit(1).alias("k"), "n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "result").alias("value"))
+    ends = findings.sparkSession.createDataFrame([(0, 0, head), (2, 0, "]}]}")], "k int, n int, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("k", "n").select("value").write.mode("overwrite").text(path)

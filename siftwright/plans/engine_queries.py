@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwright.functions.rules import RULES, STOPWORDS, keywords
 from siftwright.functions.scalars import entropy, fingerprint, iban_ok, luhn
 from siftwright.operators import detect, evaluate, history, redact, reports
+from siftwright.sources import corpus
 from siftwright.session import parallel, read_table
 
 SALT = b"siftwright"
@@ -84,13 +85,33 @@ def turn_findings(spark, folder):
     return f.select("file_path", "turn_idx", "detector_id", "confidence", "fingerprint")
 
 
+def _with_positives(turns):
+    """turns, each with a text that some rule finds a secret in; all rules in turn."""
+    made = turns.sparkSession.createDataFrame([(i, t) for i, (_, t) in enumerate(corpus.positives())], "__i int, __made string")
+    n = 4 * len(RULES)
+    key = F.conv(F.substring(F.md5(F.concat("file_path", F.lit(":"), F.col("turn_idx").cast("string"))), 1, 6), 16, 10).cast("int") % n
+    return turns.withColumn("__i", key).join(F.broadcast(made), "__i").withColumn("content", F.concat("content", F.lit("\n"), "__made")).drop("__i", "__made")  # a few rows per rule
+
+
+def _positives_sql():
+    rows = ", ".join(f"({i}, {_quote(t)})" for i, (_, t) in enumerate(corpus.positives()))
+    return f"""WITH made(i, t) AS (VALUES {rows}), own AS (SELECT DISTINCT file_path, turn_idx, content FROM turns WHERE content IS NOT NULL),
+planted AS (SELECT file_path, turn_idx, content || chr(10) || t AS content FROM own JOIN made ON i = CAST('0x' || substr(md5(file_path || ':' || turn_idx::VARCHAR), 1, 6) AS INT) % {4 * len(RULES)})"""
+
+
+def rule_findings(spark, folder):
+    """Every rule on texts made for it."""
+    f = detect.dedupe(detect.detect(_with_positives(_turns(spark, folder))))
+    return f.select("file_path", "turn_idx", "detector_id", "category", "confidence", F.round("entropy_score", 6).alias("entropy"), "fingerprint")
+
+
 def planted_findings(spark, folder):
-    f = detect.dedupe(detect.detect(planted(_turns(spark, folder)))).where("detector_id IN ('aws_access_key_id', 'github_pat_classic')")
+    f = detect.dedupe(detect.detect(planted(_turns(spark, folder))))
     return f.select("file_path", "turn_idx", "detector_id", "byte_start", "byte_end", "fingerprint", "excerpt")
 
 
 def decoded_findings(spark, folder):
-    f = detect.detect_decoded(planted(_turns(spark, folder))).where("detector_id = 'github_pat_classic'")
+    f = detect.detect_decoded(planted(_turns(spark, folder)))
     return f.select("file_path", "turn_idx", "detector_id", F.array_join("transforms", "+").alias("via"), "byte_start", "byte_end", "fingerprint").distinct()
 
 
@@ -103,8 +124,8 @@ def _split_over_turns(turns):
 
 
 def cross_turn_findings(spark, folder):
-    f = detect.detect_across(_split_over_turns(_turns(spark, folder))).where("detector_id = 'github_pat_classic'")
-    return f.select("file_path", "turn_idx", F.get("contributing_turns", F.lit(0)).alias("prev_turn"), "fingerprint").distinct()
+    f = detect.detect_across(_split_over_turns(_turns(spark, folder)))
+    return f.select("file_path", "turn_idx", "detector_id", F.get("contributing_turns", F.lit(0)).alias("prev_turn"), "fingerprint").distinct()
 
 
 def full_scan(spark, folder):
@@ -112,6 +133,17 @@ def full_scan(spark, folder):
     return f.select("file_path", "turn_idx", "detector_id", "confidence", "category", F.array_join("transforms", "+").alias("via"), "span_kind", "context_class", "fingerprint", "excerpt")
 
 
+def classified_scan(spark, folder):
+    """What rules find on texts made for them, with its context, by class and confidence."""
+    t = _with_positives(_turns(spark, folder))
+    f = detect.classify_context(detect.dedupe(detect.detect(t)), t)
+    return f.groupBy("detector_id", "context_class").agg(F.count("*").alias("findings"))
+
+
+def findings_by_file(spark, folder):
+    return reports.by_file(read_table(spark, folder, "findings"))
+
+
 def chunks(spark, folder):
     c = detect.chunk(_turns(spark, folder))
     return c.select("file_path", "turn_idx", "chunk_idx", "chunk_start", F.octet_length("content").cast("long").alias("chunk_bytes"))
@@ -164,7 +196,7 @@ def merge_spans(spark, folder):
 def _redacted(mode):
     def query(spark, folder):
         t = planted(_turns(spark, folder))
-        found = detect.detect(t, [r for r in RULES if r.id in ("aws_access_key_id", "github_pat_classic")])
+        found = detect.detect(t)
         return redact.redact(t, found, mode, SALT).select("file_path", "turn_idx", "content")
 
     return query
@@ -247,8 +279,6 @@ def precision_recall(spark, folder):
 
 def corpus_scores(spark, folder):
     """Precision and recall of the rules on the generated corpus."""
-    from siftwright.sources import corpus
-
     made = corpus.generate(spark, 20_000)
     labels = made.select("entry", F.posexplode("labels").alias("label_no", "l")).select("entry", "l.class", F.col("label_no").cast("long").alias("label_no"), "l.start", "l.end")
     f = detect.detect(corpus.as_turns(made)).where(F.col("detector_id").isin(*corpus.SHAPES))
@@ -257,7 +287,7 @@ def corpus_scores(spark, folder):
 
 
 def queries():
-    names = [finding_counts, turn_findings, planted_findings, decoded_findings, cross_turn_findings, full_scan, chunks, context_signals, context_class, context_scores, entropy_scores, checksum_checks, fingerprints, merge_spans, scan_totals, global_totals, recent_scans, findings_for_scan, history_filter, suppression_flags, results_view, recovery_sweep, report_human, report_json, report_sarif_rules, report_sarif, precision_recall, corpus_scores]
+    names = [finding_counts, turn_findings, rule_findings, findings_by_file, classified_scan, planted_findings, decoded_findings, cross_turn_findings, full_scan, chunks, context_signals, context_class, context_scores, entropy_scores, checksum_checks, fingerprints, merge_spans, scan_totals, global_totals, recent_scans, findings_for_scan, history_filter, suppression_flags, results_view, recovery_sweep, report_human, report_json, report_sarif_rules, report_sarif, precision_recall, corpus_scores]
     return {f.__name__: f for f in names} | {f"redact_{m}": _redacted(m) for m in redact.MODES}
 
 
@@ -281,38 +311,92 @@ SELECT file_path, turn_idx, CAST(own + sum((own > 0)::INT) OVER w - (own > 0)::I
 FROM o WINDOW w AS (PARTITION BY file_path ORDER BY turn_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
 
 
+def _class_sql(findings: str, texts: str) -> str:
+    """findings (key, raw, span_kind, entropy, and `kept` columns) of turns (key: file_path, turn_idx) with context_class."""
+    own = " + ".join(f"contains(low, {_quote(k)})::INT" for k in detect.EDUCATIONAL)
+    doc = " OR ".join(f"contains(low, {_quote(k)})" for k in detect.DOC_SITES)
+    known = " OR ".join(f"contains(raw, {_quote(k)})" for k in detect.PLACEHOLDERS)
+    return f"""low_texts AS (SELECT file_path, turn_idx, role, content, {own} AS own, ({doc})::INT AS doc FROM (SELECT *, lower(coalesce(content, '')) AS low FROM {texts})),
+signals AS (SELECT file_path, turn_idx, role, coalesce(content, '') AS content, own + sum((own > 0)::INT) OVER w - (own > 0)::INT AS edu, max(doc) OVER w = 1 AS doc_url
+  FROM low_texts WINDOW w AS (PARTITION BY file_path ORDER BY turn_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+seen AS (SELECT f.*, s.role AS turn_role, s.content AS turn_text, s.edu, s.doc_url,
+  len(list_filter(string_split_regex(s.content, '(?m)^[ \\t]*```[^\\n]*$'), lambda p, i: i % 2 = 0 AND contains(p, raw))) > 0 AS fence,
+  len(list_filter(regexp_extract_all(s.content, '(?s)```.*?(?:```|\\z)|`([^`]*)`', 1), lambda p: contains(p, raw))) > 0 AS code
+  FROM {findings} f LEFT JOIN signals s USING (file_path, turn_idx)),
+classed AS (SELECT *, CASE WHEN turn_text IS NULL THEN 'unclassified' WHEN span_kind = 'cross_turn' THEN 'real_paste' WHEN {known} THEN 'model_hallucination'
+  WHEN doc_url AND (fence OR code) THEN 'documentation_quote'
+  WHEN edu >= 2 AND (turn_role IS NOT DISTINCT FROM 'assistant' OR fence) THEN 'educational'
+  WHEN fence AND edu >= 1 AND turn_role IS NOT DISTINCT FROM 'assistant' THEN 'educational'
+  WHEN turn_role = 'user' AND edu = 0 AND coalesce(entropy, 0) >= 4.5 THEN 'real_paste'
+  WHEN turn_role = 'user' AND edu = 0 AND NOT fence THEN 'real_paste' ELSE 'unclassified' END AS context_class FROM seen)"""
+
+
+_CORPUS = """WITH corpus_turns AS (SELECT id AS file_path, unnest(range(0, len(turns))) AS turn_idx, unnest(turns).role AS role, unnest(turns).content AS content FROM context_corpus),
+corpus_findings AS (SELECT id AS file_path, CAST(finding_turn_idx AS BIGINT) AS turn_idx, expected_class, matched_raw AS raw, CASE WHEN span_kind IN ('cross_turn', 'crossturn', 'cross') THEN 'cross_turn' ELSE 'single' END AS span_kind, entropy_score AS entropy FROM context_corpus),
+"""
+
+
 def oracle_sql():
+    corpus_class = _CORPUS + _class_sql("corpus_findings", "corpus_turns")
+    rule_hits = f"{_positives_sql()}, f AS ({_rules_sql('planted', 'content', 'file_path, turn_idx')}), once AS (SELECT DISTINCT file_path, turn_idx, detector_id, confidence, raw FROM f)"
+    categories = f"(VALUES {', '.join(f'({_quote(r.id)}, {_quote(r.category)})' for r in RULES)}) c(detector_id, category)"
     docs = "(SELECT doc_id::VARCHAR AS file_path, text FROM documents WHERE text IS NOT NULL)"
-    pieces = {
+    key = SALT.ljust(64, bytes(1))
+    inner, outer = (bytes(x ^ y for x in key).hex() for y in (0x36, 0x5C))
+    tags = {
         "mask": "'[REDACTED]'",
-        "partial": "substr(raw, 1, 6) || '[REDACTED]'",
-        "mask_with_type": "'[REDACTED:' || det || ']'",
-        "vault_ref": "'${VAULT:' || det || '_' || row_number() OVER (PARTITION BY det, raw IS NULL ORDER BY file_path, turn_idx) || '}'",
-        "hash": f"'[sha256:' || substr(sha256(unhex('{bytes(b ^ 0x5C for b in SALT.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in SALT.ljust(64, bytes(1))).hex()}') || encode(raw)))), 1, 8) || ']'",
+        "partial": "substr(piece, 1, 6) || '[REDACTED]'",
+        "mask_with_type": "'[REDACTED:' || detector_id || ']'",
+        "vault_ref": "'${VAULT:' || detector_id || '_' || row_number() OVER (PARTITION BY detector_id ORDER BY file_path, turn_idx, a) || '}'",
+        "hash": f"'[sha256:' || substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode(piece)))), 1, 8) || ']'",
     }
+    # every match at its first place in the text, overlapping ones merged, the text rebuilt around them
+    merged = _PLANTED + f""", f AS ({_rules_sql('planted', 'content', 'file_path, turn_idx, content')}),
+s AS (SELECT DISTINCT file_path, turn_idx, content, detector_id, length(split_part(content, raw, 1)) AS a, length(split_part(content, raw, 1)) + length(raw) AS b FROM f),
+r AS (SELECT *, max(b) OVER (PARTITION BY file_path, turn_idx ORDER BY a, b, detector_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s),
+g AS (SELECT *, sum(CASE WHEN reached IS NULL OR a >= reached THEN 1 ELSE 0 END) OVER (PARTITION BY file_path, turn_idx ORDER BY a, b, detector_id ROWS UNBOUNDED PRECEDING) AS grp FROM r),
+m AS (SELECT file_path, turn_idx, content, min(a) AS a, max(b) AS b, min({{'a': a, 'b': b, 'd': detector_id}}).d AS detector_id FROM g GROUP BY file_path, turn_idx, content, grp),
+p AS (SELECT *, substr(content, a + 1, b - a) AS piece, coalesce(lag(b) OVER (PARTITION BY file_path, turn_idx ORDER BY a), 0) AS past FROM m),
+"""
     redacted = {
-        f"redact_{m}": _PLANTED
-        + f""", hit AS (SELECT *, CASE turn_idx % 4 WHEN 0 THEN 'AKIA' || upper(substr(k, 1, 16)) WHEN 1 THEN 'ghp_' || substr(k || k, 1, 36) END AS raw,
-CASE turn_idx % 4 WHEN 0 THEN 'aws_access_key_id' ELSE 'github_pat_classic' END AS det FROM planted)
-SELECT file_path, turn_idx, CASE WHEN raw IS NULL THEN content ELSE replace(content, raw, {p}) END AS content FROM hit"""
-        for m, p in pieces.items()
+        f"redact_{m}": merged
+        + f"""t AS (SELECT *, {tag} AS tag FROM p),
+done AS (SELECT file_path, turn_idx, string_agg(substr(content, past + 1, a - past) || tag, '' ORDER BY a) || substr(any_value(content), max(b) + 1) AS content FROM t GROUP BY 1, 2)
+SELECT file_path, turn_idx, coalesce(d.content, o.content) AS content FROM planted o LEFT JOIN done d USING (file_path, turn_idx)"""
+        for m, tag in tags.items()
     }
     return redacted | {
         "finding_counts": f"WITH f AS ({_rules_sql(docs, 'text', 'file_path')}) SELECT detector_id, confidence, count(*) AS findings FROM (SELECT DISTINCT detector_id, confidence, file_path, raw FROM f) GROUP BY 1, 2",
         "turn_findings": f"WITH f AS ({_rules_sql(_once('turns'), 'content', 'file_path, turn_idx')}) SELECT DISTINCT file_path, turn_idx, detector_id, confidence, {_fp('raw', 'detector_id', 'file_path', 'turn_idx')} AS fingerprint FROM f",
+        "rule_findings": f"{rule_hits} SELECT file_path, turn_idx, detector_id, category, confidence, round({_entropy_sql('raw')}, 6) AS entropy, {_fp('raw', 'detector_id', 'file_path', 'turn_idx')} AS fingerprint FROM once JOIN {categories} USING (detector_id)",
+        "classified_scan": f"{rule_hits}, own_roles AS (SELECT DISTINCT ON (file_path, turn_idx) file_path, turn_idx, role FROM turns WHERE content IS NOT NULL), full_turns AS (SELECT p.file_path, p.turn_idx, r.role, p.content FROM planted p JOIN own_roles r USING (file_path, turn_idx)), hits AS (SELECT *, 'single' AS span_kind, {_entropy_sql('raw')} AS entropy FROM once), {_class_sql('hits', 'full_turns')} SELECT detector_id, context_class, count(*) AS findings FROM classed GROUP BY 1, 2",
+        "context_class": f"{corpus_class} SELECT file_path AS id, expected_class, context_class FROM classed",
+        "context_scores": f"{corpus_class}, n AS (SELECT count(*) FILTER (expected_class = 'real_paste' AND context_class = 'real_paste') AS tp, count(*) FILTER (expected_class <> 'real_paste' AND context_class = 'real_paste') AS fp, count(*) FILTER (expected_class = 'real_paste' AND context_class <> 'real_paste') AS fn FROM classed), pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS recall FROM n) SELECT *, precision >= 0.90 AND recall >= 0.85 AS passed FROM pr",
+        "findings_by_file": "SELECT file_path, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low, count(*) AS findings, count(DISTINCT turn_idx) AS turns FROM findings GROUP BY 1",
+        "report_json": """SELECT fingerprint, CAST(json_merge_patch('{}', json_object('file', file_path, 'turn', turn_idx, 'line', line_in_file, 'detector', detector_id, 'confidence', confidence, 'byte_start', byte_start, 'byte_end', byte_end, 'synthetic', synthetic, 'fingerprint', fingerprint, 'excerpt', excerpt, 'category', category, 'context_class', context_class,
+'transforms', CASE WHEN coalesce(len(CAST(CAST(transforms AS JSON) AS VARCHAR[])), 0) > 0 THEN CAST(CAST(transforms AS JSON) AS VARCHAR[]) END)) AS VARCHAR) AS json FROM findings""",
+        "report_sarif": """SELECT fingerprint, CAST(json_merge_patch('{}', json_object('ruleId', detector_id, 'level', CASE confidence WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END,
+'message', json_object('text', coalesce(nullif(detector_id, ''), detector_id) || ' detected at bytes ' || byte_start || '..' || byte_end || '  excerpt: ' || excerpt),
+'locations', json_array(json_merge_patch('{}', json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file_path), 'region', json_object('byteOffset', byte_start, 'byteLength', byte_end - byte_start))))),
+'partialFingerprints', json_object('findingFingerprint/v1', fingerprint), 'properties', json_object('contextClass', context_class, 'category', category))) AS VARCHAR) AS result FROM findings""",
         "planted_findings": _PLANTED
-        + f""", hit AS (SELECT *, CASE turn_idx % 4 WHEN 0 THEN 'AKIA' || upper(substr(k, 1, 16)) ELSE 'ghp_' || substr(k || k, 1, 36) END AS raw,
-CASE turn_idx % 4 WHEN 0 THEN 'aws_access_key_id' ELSE 'github_pat_classic' END AS detector_id FROM planted WHERE turn_idx % 4 < 2),
-cut AS (SELECT *, split_part(content, raw, 1) AS pre, split_part(content, raw, 2) AS post, {_fp('raw', 'detector_id', 'file_path', 'turn_idx')} AS fingerprint FROM hit)
+        + f""", f AS ({_rules_sql('planted', 'content', 'file_path, turn_idx, content')}),
+cut AS (SELECT DISTINCT file_path, turn_idx, detector_id, raw, split_part(content, raw, 1) AS pre, substr(content, length(split_part(content, raw, 1)) + length(raw) + 1) AS post, {_fp('raw', 'detector_id', 'file_path', 'turn_idx')} AS fingerprint FROM f)
 SELECT file_path, turn_idx, detector_id, octet_length(encode(pre)) AS byte_start, octet_length(encode(pre)) + octet_length(encode(raw)) AS byte_end, fingerprint,
 regexp_replace(right(pre, 30) || '[FP:' || fingerprint || ']' || left(post, 30), '[\\x00-\\x1f\\x7f]', ' ', 'g') AS excerpt FROM cut""",
         "decoded_findings": _PLANTED
         + f"""SELECT file_path, turn_idx, 'github_pat_classic' AS detector_id, CASE turn_idx % 4 WHEN 2 THEN 'base64' ELSE 'hex' END AS via, CAST(4 AS BIGINT) AS byte_start, CAST(44 AS BIGINT) AS byte_end,
 {_fp("'ghp_' || substr(k || k, 1, 36)", "'github_pat_classic'", 'file_path', 'turn_idx')} AS fingerprint FROM planted WHERE turn_idx % 4 >= 2""",
-        "cross_turn_findings": f"""WITH d AS (SELECT DISTINCT file_path, turn_idx, md5(file_path || '/' || (turn_idx // 2)::VARCHAR) AS k FROM turns WHERE content IS NOT NULL),
-t AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY turn_idx) AS n FROM d)
-SELECT DISTINCT b.file_path, b.turn_idx, a.turn_idx AS prev_turn, {_fp("left('ghp_' || substr(a.k || a.k, 1, 36), 16) || substr('ghp_' || substr(b.k || b.k, 1, 36), 17)", "'github_pat_classic'", 'b.file_path', 'b.turn_idx')} AS fingerprint
-FROM t a JOIN t b ON a.file_path = b.file_path AND b.n - a.n BETWEEN 1 AND 3 WHERE a.turn_idx % 2 = 0 AND b.turn_idx % 2 = 1""",
+        "cross_turn_findings": f"""WITH d AS (SELECT DISTINCT file_path, turn_idx, content, 'ghp_' || substr(repeat(md5(file_path || '/' || (turn_idx // 2)::VARCHAR), 2), 1, 36) AS token FROM turns WHERE content IS NOT NULL),
+u AS (SELECT file_path, turn_idx, CASE WHEN turn_idx % 2 = 0 THEN content || ' ' || left(token, 16) ELSE substr(token, 17) || ' ' || content END AS c FROM d),
+t AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY turn_idx) AS n,
+  left(c, list_max(list_filter(range(0, 129), k -> octet_length(encode(left(c, CAST(k AS INT)))) <= 128))) AS head,
+  right(c, list_max(list_filter(range(0, 129), k -> octet_length(encode(right(c, CAST(k AS INT)))) <= 128))) AS tail FROM u),
+joined AS (SELECT b.file_path, b.turn_idx, a.turn_idx AS prev_turn, a.tail || b.head AS joined, octet_length(encode(a.tail)) AS border
+  FROM t a JOIN t b ON a.file_path = b.file_path AND b.n - a.n BETWEEN 1 AND 3 WHERE octet_length(encode(a.tail)) >= 8 AND octet_length(encode(b.head)) >= 8),
+f AS ({_rules_sql('joined', 'joined', 'file_path, turn_idx, prev_turn, joined, border')}),
+g AS (SELECT *, octet_length(encode(split_part(joined, raw, 1))) AS a FROM f)
+SELECT DISTINCT file_path, turn_idx, detector_id, prev_turn, {_fp('raw', 'detector_id', 'file_path', 'turn_idx')} AS fingerprint FROM g WHERE a < border AND a + octet_length(encode(raw)) > border""",
         "context_signals": _edu(),
         "entropy_scores": f"SELECT id, round({_entropy_sql('fingerprint')}, 6) AS entropy FROM findings WHERE fingerprint IS NOT NULL",
         "checksum_checks": "WITH d AS (SELECT o_orderkey, (o_orderkey * 7919 + 4000000000000)::VARCHAR AS raw FROM orders) SELECT o_orderkey, (list_sum(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(raw[len(raw) - i + 1] AS INT) ELSE (CAST(raw[len(raw) - i + 1] AS INT) * 2) // 10 + (CAST(raw[len(raw) - i + 1] AS INT) * 2) % 10 END)) % 10) = 0 AS luhn FROM d",

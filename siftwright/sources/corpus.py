@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+import string
+from collections import Counter
+
+try:
+    from re import _constants as sre
+    from re import _parser as sre_parse
+except ImportError:  # Python before 3.11
+    import sre_constants as sre
+    import sre_parse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.functions.rules import RULES, STOPWORDS, Rule, keywords
+
 # Per cent of entries with one secret, with two, with look-alikes of high entropy, with near misses, and without any.
 MIX = {"single": 30, "double": 6, "hard_negative": 24, "near_miss": 16, "clean": 24}
 # What stands before a secret's body, and how long the body is; keys are rule ids.
@@ -74,3 +89,75 @@ def generate(spark: SparkSession, count: int = 50_000, seed: int = 42, mix: dict
 
 def as_turns(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("entry").alias("file_path"), F.lit(0).cast("long").alias("turn_idx"), F.lit("user").alias("role"), F.col("text").alias("content"))
+
+
+def _made(nodes, rng: random.Random) -> str:
+    """A text that a parsed pattern matches."""
+    out = []
+    for op, arg in nodes:
+        if op == sre.LITERAL:
+            out.append(chr(arg))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            low, high, inner = arg
+            times = rng.randint(low, min(int(high), low + 6))
+            out += [_made(inner, rng) for _ in range(times)]
+        elif op == sre.SUBPATTERN:
+            out.append(_made(arg[-1], rng))
+        elif op == sre.BRANCH:
+            out.append(_made(rng.choice(arg[1]), rng))
+        elif op in (sre.IN, sre.NOT_LITERAL, sre.ANY, sre.CATEGORY):
+            test = arg if op == sre.IN else [(op, arg)]
+            out.append(rng.choice([c for c in string.ascii_letters + string.digits + string.punctuation if _in(test, c)] or [" "]))
+    return "".join(out)
+
+
+_CLASSES = {sre.CATEGORY_DIGIT: str.isdigit, sre.CATEGORY_SPACE: str.isspace, sre.CATEGORY_WORD: lambda c: c.isalnum() or c == "_"}
+_OTHERS = {sre.CATEGORY_NOT_DIGIT: sre.CATEGORY_DIGIT, sre.CATEGORY_NOT_SPACE: sre.CATEGORY_SPACE, sre.CATEGORY_NOT_WORD: sre.CATEGORY_WORD}
+
+
+def _in(items, c: str) -> bool:
+    hit, turned = False, False
+    for op, arg in items:
+        if op == sre.NEGATE:
+            turned = True
+        elif op == sre.LITERAL:
+            hit |= c == chr(arg)
+        elif op == sre.NOT_LITERAL:
+            hit |= c != chr(arg)
+        elif op == sre.RANGE:
+            hit |= arg[0] <= ord(c) <= arg[1]
+        elif op == sre.CATEGORY:
+            hit |= not _CLASSES[_OTHERS[arg]](c) if arg in _OTHERS else bool(_CLASSES[arg](c))
+        elif op == sre.ANY:
+            hit = True
+    return hit != turned
+
+
+def _passes(rule: Rule, raw: str) -> bool:
+    if rule.stopwords and raw in STOPWORDS:
+        return False
+    if rule.validator == "entropy":
+        return -sum(n / len(raw) * math.log2(n / len(raw)) for n in Counter(raw.encode()).values()) >= rule.threshold
+    if rule.validator == "luhn":
+        return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(raw))) % 10 == 0
+    if rule.validator == "iban":
+        return int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
+    return True
+
+
+def positives(rules: list[Rule] = RULES, each: int = 4, seed: int = 7) -> list[tuple[str, str]]:
+    """(rule id, text) of `each` texts for every rule that it finds a secret in, made from its pattern, validator and keywords."""
+    rng, out = random.Random(seed), []
+    for rule in rules:
+        tree, words = sre_parse.parse(rule.pattern), keywords(rule)
+        for _ in range(each):
+            for _ in range(20_000):
+                made = _made(tree, rng)
+                text = (rng.choice(words) + " " if words else "") + made + " "
+                hits = [m.group(rule.group) for m in re.finditer(rule.pattern, text)]
+                if hits and _passes(rule, hits[0]):
+                    out.append((rule.id, text))
+                    break
+            else:
+                raise ValueError(f"no text found for {rule.id}")
+    return out

@@ -9,11 +9,11 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import sqlite3
-import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TURNS = "file_path string, turn_idx long, role string, content string, byte_start long, byte_end long, source string, conversation_id string, ts_seconds long, model string, line_in_file int"
@@ -61,7 +61,7 @@ def _blocks(content) -> str:
     return "".join(out)
 
 
-def parse_session(data: bytes):
+def parse_session(data: bytes, errors: list | None = None):
     """JSONL session log, a record per line. A turn's range is its raw line; broken and unknown lines take no index."""
     at = n = 0
     for no, line in enumerate(data.split(b"\n"), 1):
@@ -69,7 +69,9 @@ def parse_session(data: bytes):
         end = min(at, len(data))
         try:
             o = json.loads(line)
-        except ValueError:
+        except ValueError as e:
+            if errors is not None and line.strip():
+                errors.append((no, str(e)))
             continue
         kind = o.get("type") if isinstance(o, dict) else None
         if kind in ("user", "assistant"):
@@ -89,34 +91,49 @@ def parse_session(data: bytes):
         n += 1
 
 
-def parse_graph(data: bytes):
-    """JSON export with message graphs: breadth first from each conversation's root; cycles and dangling children are passed over."""
+def parse_graph(data: bytes, errors: list | None = None):
+    """JSON export with message graphs: breadth first from each conversation's root; cycles and dangling children are passed over.
+
+    A conversation that is not what it should be costs only itself.
+    """
     root = json.loads(data)
     n = at = 0
-    for conv in root if isinstance(root, list) else [root] if isinstance(root, dict) else []:
-        mapping = conv.get("mapping") if isinstance(conv, dict) else None
-        if not isinstance(mapping, dict):
-            continue
-        queue, seen = [k for k, v in mapping.items() if isinstance(v, dict) and v.get("parent") is None][:1], set()
-        for k in queue:
-            if k in seen or not isinstance(mapping.get(k), dict):
-                continue
-            seen.add(k)
-            node = mapping[k]
-            queue += [c for c in node.get("children") or () if c in mapping]
-            m = node.get("message") or {}
-            role = ROLES.get(((m.get("author") or {}).get("role")))
-            c = m.get("content") or {}
-            if not role or not isinstance(c, dict) or c.get("content_type") not in (None, "text", "multimodal_text"):
-                continue
-            text = "\n".join(p if isinstance(p, str) else compact(p) for p in c.get("parts") or () if p not in (None, ""))
-            if not text:
-                continue
-            size, ts = len(text.encode()), m.get("create_time")
-            yield n, role, text, at, at + size, conv.get("conversation_id") or conv.get("id"), None if ts is None else int(ts), (m.get("metadata") or {}).get("model_slug"), None
+    for no, conv in enumerate(root if isinstance(root, list) else [root] if isinstance(root, dict) else [], 1):
+        try:
+            found = list(_graph_messages(conv))
+        except (ValueError, AttributeError, TypeError) as e:
+            found = []
+            if errors is not None:
+                errors.append((no, f"conversation: {e}"))
+        for role, text, conversation, ts, model in found:
+            size = len(text.encode())
+            yield n, role, text, at, at + size, conversation, ts, model, None
             n, at = n + 1, at + size
 
 
+def _graph_messages(conv):
+    """(role, text, conversation, time, model) of one conversation of an export."""
+    mapping = conv.get("mapping") if isinstance(conv, dict) else None
+    if not isinstance(mapping, dict):
+        return
+    queue, seen = [k for k, v in mapping.items() if isinstance(v, dict) and v.get("parent") is None][:1], set()
+    for k in queue:
+        if k in seen or not isinstance(mapping.get(k), dict):
+            continue
+        seen.add(k)
+        node = mapping[k]
+        queue += [c for c in node.get("children") or () if c in mapping]
+        m = node.get("message") or {}
+        role = ROLES.get(((m.get("author") or {}).get("role")))
+        c = m.get("content") or {}
+        if not role or not isinstance(c, dict) or c.get("content_type") not in (None, "text", "multimodal_text"):
+            continue
+        text = "\n".join(p if isinstance(p, str) else compact(p) for p in c.get("parts") or () if p not in (None, ""))
+        if text:
+            ts = m.get("create_time")
+            yield role, text, conv.get("conversation_id") or conv.get("id"), None if ts is None else int(ts), (m.get("metadata") or {}).get("model_slug")
+
+
 def _value_text(v) -> str:
     if isinstance(v, str):
         return v
@@ -130,16 +147,15 @@ def _value_text(v) -> str:
 
 def parse_editor(data: bytes):
     """SQLite state database: every object with a role and content under keys `aiService.%`, at any depth, outermost first."""
-    with tempfile.NamedTemporaryFile(suffix=".vscdb") as f:
-        f.write(data)
-        f.flush()
-        con = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
-        try:
-            rows = con.execute("SELECT key, value FROM ItemTable WHERE key LIKE 'aiService.%' ORDER BY rowid").fetchall()
-        except sqlite3.Error:
-            rows = []
-        finally:
-            con.close()
+    con = sqlite3.connect(":memory:")
+    try:
+        # a copy of one file has no journal beside it: bytes 18 and 19 say that there is none
+        con.deserialize(data[:18] + b"\x01\x01" + data[20:])
+        rows = con.execute("SELECT key, value FROM ItemTable WHERE key LIKE 'aiService.%' ORDER BY rowid").fetchall()
+    except (sqlite3.Error, OverflowError):
+        rows = []
+    finally:
+        con.close()
     n = at = 0
     for key, value in rows:
         try:
@@ -218,31 +234,107 @@ def load_turns(spark: SparkSession, paths: str | list[str], kind: str = "auto")
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").mapInPandas(run, TURNS)
 
 
+def read_errors(spark: SparkSession, paths: list[str] | str, kind: str = "auto") -> DataFrame:
+    """(file_path, source, place, error) of what load_turns passes over: broken lines and conversations (by number), and files that are no such file (place null)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                data, errors = bytes(data), []
+                found = sniff(path, data[:HEAD]) if kind == "auto" else kind
+                try:
+                    for _ in PARSERS[found](data, errors) if found in ("claude_code", "chat_gpt") else PARSERS[found](data) if found else ():
+                        pass
+                except (ValueError, AttributeError, TypeError) as e:
+                    errors.append((None, str(e)))
+                out += [(path, found, no, e) for no, e in errors]
+            yield pd.DataFrame(out, columns=["file_path", "source", "place", "error"]).astype({"place": "Int64"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").mapInPandas(run, "file_path string, source string, place long, error string")
+
+
 def text_turn(spark: SparkSession, text: str, path: str = "<stdin>") -> DataFrame:
     """A text that came through a pipe, as one user turn."""
     size = len(text.encode())
     return spark.createDataFrame([(path, 0, "user", text, 0, size, "generic", None, None, None, None)], TURNS)
 
 
-# Where tools keep their histories below the home folder, and how deep to look.
-ROOTS = {".claude/projects": 6, ".claude": 2, ".config/Code/User": 6, ".config/Cursor/User": 6, "Takeout": 4}
+# Where tools keep their histories below the home folder or the folder of configurations, how deep to look, and for which files.
+PLACES = (
+    ("home", ".claude/projects", 6, r"(?i).*\.jsonl"),
+    ("home", "Library/Application Support/Claude", 2, r"(?i).*\.json"),
+    ("config", "claude", 2, r"(?i).*\.json"),
+    ("home", "Library/Application Support/Cursor/User/workspaceStorage", 6, r"(?i).*\.vscdb"),
+    ("config", "Cursor/User/workspaceStorage", 6, r"(?i).*\.vscdb"),
+    ("home", "Library/Application Support/Code/logs", 6, r"(?=.*Copilot)(?=.*Chat).*\.log"),
+    ("config", "Code/logs", 6, r"(?=.*Copilot)(?=.*Chat).*\.log"),
+    ("home", "Downloads/Takeout/Gemini", 4, r"MyActivity\.json"),
+    ("home", "Takeout/Gemini", 4, r"MyActivity\.json"),
+)
 FORMATS = {"jsonl": "jsonl", "json": "json", "toml": "toml", "vscdb": "sqlite", "sqlite": "sqlite", "db": "sqlite", "zip": "archive", "gz": "archive", "tgz": "archive"}
 
 
-def discover(home: str, extra: str = "") -> list[tuple[str, str]]:
-    """(path, format) of history files below home and of colon-separated extra globs, each once, in order."""
+def discover(home: str, extra: str = "", config: str | None = None) -> list[tuple[str, str]]:
+    """(path, format) of the history files of known tools and of colon-separated extra globs, each once, in order.
+
+    config is the folder of configurations: $XDG_CONFIG_HOME, else .config
+    below home. Links are not followed; a folder that is missing or can't be
+    read has no files.
+    """
+    bases = {"home": home, "config": config or os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")}
     found = set()
-    for root, deepest in ROOTS.items():
-        top = os.path.join(home, root)
+    for base, root, deepest, name in PLACES:
+        top = os.path.join(bases[base], root)
         for folder, folders, files in os.walk(top):
-            depth = os.path.relpath(folder, top).count(os.sep) + (folder != top)
-            folders[:] = [] if depth + 1 >= deepest else [d for d in folders if d not in (".git", "node_modules")]
-            found |= {os.path.realpath(os.path.join(folder, f)) for f in files}
+            depth = 0 if folder == top else os.path.relpath(folder, top).count(os.sep) + 1
+            folders[:] = folders if depth + 1 < deepest else []
+            found |= {os.path.realpath(os.path.join(folder, f)) for f in files if re.fullmatch(name, f) and not os.path.islink(os.path.join(folder, f))}
     for pattern in filter(None, extra.split(":")):
         found |= {os.path.realpath(p) for p in glob.glob(pattern, recursive=True) if os.path.isfile(p)}
     return [(p, FORMATS.get(p.rsplit(".", 1)[-1].lower(), "text")) for p in sorted(found)]
 
 
+def project_of(path: str) -> str | None:
+    """The folder that holds .git, closest above a path."""
+    at = os.path.abspath(path)
+    while True:
+        if os.path.exists(os.path.join(at, ".git")):
+            return os.path.basename(at) or None
+        if os.path.dirname(at) == at:
+            return None
+        at = os.path.dirname(at)
+
+
+def account_of(path: Column) -> Column:
+    """The folder below .claude/projects in a path, null if there is none."""
+    return F.nullif(F.regexp_extract(path, r"\.claude/projects/([^/]+)", 1), F.lit(""))
+
+
+def total_size(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of all files of the given files and folders; the contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
+    """Findings from a JSON report (an array, or an object a line), as redaction takes them: file_path, turn_idx, detector_id, byte_start, byte_end and what else it has.
+
+    Records without a detector or a range are left out; so are those whose
+    range is turned round.
+    """
+    schema = "file string, turn long, detector string, byte_start long, byte_end long, synthetic boolean, line int, transforms array<string>, fingerprint string"
+    f = spark.read.schema(schema).option("multiLine", "true").json(path) if _is_array(spark, path) else spark.read.schema(schema).json(path)
+    f = f.where("detector IS NOT NULL AND byte_start IS NOT NULL AND byte_end >= byte_start")
+    return f.select(F.col("file").alias("file_path"), F.coalesce("turn", F.lit(0)).alias("turn_idx"), F.col("detector").alias("detector_id"), "byte_start", "byte_end", F.coalesce("synthetic", F.lit(False)).alias("synthetic"), F.col("line").alias("line_in_file"), F.coalesce("transforms", F.array().cast("array<string>")).alias("transforms"), F.lit("single").alias("span_kind"), "fingerprint")
+
+
+def _is_array(spark: SparkSession, path: str) -> bool:
+    first = spark.read.text(path).where("trim(value) <> ''").head(1)
+    return bool(first) and first[0][0].lstrip().startswith("[")
+
+
 def load_suppressions(spark: SparkSession, path: str) -> DataFrame:
     """(fingerprint) of a suppression file; a missing or malformed one gives none."""
     try:
@@ -258,20 +350,33 @@ def save_suppressions(path: str, fingerprints: list[str]) -> None:
         json.dump({"version": 1, "suppressed_fingerprints": sorted(set(fingerprints))}, f, indent=2)
 
 
+def toggle_suppression(path: str, fingerprint: str) -> bool:
+    """Add a fingerprint to a suppression file, or take it out; whether it is in it now."""
+    try:
+        with open(path) as f:
+            marks = set(json.load(f)["suppressed_fingerprints"])
+    except (OSError, ValueError, KeyError, TypeError):
+        marks = set()
+    marks ^= {fingerprint}
+    save_suppressions(path, list(marks))
+    return fingerprint in marks
+
+
 DEFAULTS = {"schema_version": 1, "scan": {"confidence_threshold": 0.85}}
 
 
-def load_config(path: str | None = None, env: dict | None = None, prefix: str = "SIFTWRIGHT_") -> dict:
-    """Defaults, then a TOML file, then the environment (`__` nests)."""
+def load_config(path: str | list[str] | None = None, env: dict | None = None, prefix: str = "SIFTWRIGHT_") -> dict:
+    """Defaults, then TOML files in their order (the user's, then the project's), then the environment (`__` nests)."""
     import tomllib
 
     def merge(a, b):
         return {**a, **{k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}}
 
     config = DEFAULTS
-    if path and os.path.exists(path):
-        with open(path, "rb") as f:
-            config = merge(config, tomllib.load(f))
+    for p in [path] if isinstance(path, str) else path or []:
+        if os.path.exists(p):
+            with open(p, "rb") as f:
+                config = merge(config, tomllib.load(f))
     for key, value in sorted((os.environ if env is None else env).items()):
         if key.startswith(prefix) and "__" in key:
             *where, leaf = key[len(prefix) :].lower().split("__")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from siftwright.functions.rules import RULES
-from siftwright.operators.detect import FINDING, _finish, detect, matches, validated
+from siftwright.operators.detect import detect, find_in, texts_of
 
 
 def detect_stream(turns: DataFrame) -> DataFrame:
@@ -19,8 +19,16 @@ def detect_stream(turns: DataFrame) -> DataFrame:
 
 
 def dedupe_stream(findings: DataFrame, time_column: str, delay: str = "1 hour") -> DataFrame:
-    """A fingerprint once within the watermark's delay."""
-    return findings.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    """A match of a rule in a turn once within the watermark's delay."""
+    digest = findings.withColumn("__digest", F.sha2("matched_raw", 256)).withWatermark(time_column, delay)
+    return digest.dropDuplicatesWithinWatermark(["file_path", "turn_idx", "detector_id", "__digest"]).drop("__digest")
+
+
+def throughput(turns: DataFrame, time_column: str, every: str = "10 seconds", delay: str = "1 minute") -> DataFrame:
+    """(start, end, turns, per_second) of a stream or table of turns, by windows of event time."""
+    w = turns.withWatermark(time_column, delay).groupBy(F.window(time_column, every)).agg(F.count("*").alias("turns"))
+    seconds = F.col("window.end").cast("double") - F.col("window.start").cast("double")
+    return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "turns", (F.col("turns") / seconds).alias("per_second"))
 
 
 def across_stream(turns: DataFrame, lookback: int = 3, least: int = 8, tail: int = 128) -> DataFrame:
@@ -32,15 +40,17 @@ def across_stream(turns: DataFrame, lookback: int = 3, least: int = 8, tail: int
         rows = pd.concat(list(pdfs)).sort_values("turn_idx", kind="stable")
         out = []
         for idx, role, text in zip(rows["turn_idx"], rows["role"], rows["content"], strict=True):
-            out += [(key[0], int(idx), role, end + text[:tail], len(end.encode()), [prev, int(idx)]) for prev, end in tails]
-            tails = [*tails, [int(idx), text[-tail:]]][-lookback:]
+            data = text.encode()
+            start, last = data[:tail].decode(errors="ignore"), data[-tail:].decode(errors="ignore")
+            if len(start.encode()) >= least:
+                out += [(key[0], int(idx), role, end + start, len(end.encode()), [prev, int(idx)]) for prev, end in tails if len(end.encode()) >= least]
+            tails = [*tails, [int(idx), last]][-lookback:]
         state.update((json.dumps(tails),))
         yield pd.DataFrame(out, columns=["file_path", "turn_idx", "role", "joined", "border", "contributing_turns"])
 
-    base = turns.where(F.octet_length("content") >= least).select("file_path", "turn_idx", "role", "content")
+    base = turns.where("content IS NOT NULL").select("file_path", "turn_idx", "role", "content")
     joined = base.groupBy("file_path").applyInPandasWithState(step, schema, "tails string", "append", GroupStateTimeout.NoTimeout)
-    rows = validated(matches(joined, "joined", RULES), RULES).where("byte_start < border AND byte_end > border")
-    return _finish(rows.withColumns({"transforms": F.array().cast("array<string>"), "span_kind": F.lit("cross_turn")}), "joined").select(*FINDING)
+    return find_in(texts_of(joined, "joined", kind="cross_turn", turns=F.col("contributing_turns"), border=F.col("border")), RULES)
 
 
 def commit_stream(findings: DataFrame, store, scan_id: str, log: str):

@@ -257,3 +257,90 @@ def test_overlap_match_sweeps(spark):
     a = spark.createDataFrame(labels, "entry string, class string, label_no long, start long, end long")
     b = spark.createDataFrame(guesses, "entry string, class string, pred_no long, start long, end long")
     assert {tuple(r) for r in evaluate.overlap_match(a, b).collect()} == want
+
+
+def test_store_delete_reload_and_dead_writers(spark, tmp_path):
+    t = turns(spark, f"key {AWS}", "nothing")
+    other = t.withColumn("file_path", F.lit("clean"))
+    store = history.Store(spark, str(tmp_path / "h"))
+    assert store.version() == 0 and store.findings().count() == 0 and store.reload("s").count() == 0
+    for scan in ("s1", "s2"):
+        store.begin(scan)
+        store.commit(scan, D.scan(t), t.unionByName(other))
+        store.finalize(scan, 1, 0)
+    store._append("findings", D.scan(t).drop("matched_raw").withColumns({"scan_id": F.lit("s1"), "commit_id": F.lit("died")}))
+    rows = {r.scan_id: (r.total_files, r.total_turns, r.findings_high, r.complete) for r in store.scans().collect()}
+    assert rows == {s: (2, 4, 1, True) for s in ("s1", "s2")} and store.version() == 2
+    assert [r.detector_id for r in store.reload("s1").collect()] == ["aws_access_key_id"]
+    assert "aws_access_key_id" in reports.human(store.reload("s1")).first().line or "AWS" in reports.human(store.reload("s1")).first().line
+    store.delete("s1")
+    assert [r.scan_id for r in store.scans().collect()] == ["s2"] and store.findings().select("scan_id").distinct().count() == 1
+    ids = [history.new_scan_id(ms) for ms in (1, 2, 2**47)]
+    assert ids == sorted(ids) and {len(i) for i in ids} == {26} and ids[0].startswith("0000000001")
+    assert history.results_view(store.findings().withColumn("context_class", F.lit(None).cast("string")), least=0.85).count() == 1
+
+
+def test_redaction_of_files(spark, tmp_path):
+    one, two = tmp_path / "one.txt", tmp_path / "two.txt"
+    one.write_text(f"é {AWS} x\nsecond {AWS}\n")
+    two.write_text("clean")
+    start = len("é ".encode())
+    items = [{"file": str(one), "turn": 7, "detector": "aws_access_key_id", "byte_start": start, "byte_end": start + 20}, {"file": str(one), "detector": "far", "byte_start": 5, "byte_end": 999}, {"file": str(two), "detector": "past", "byte_start": 0, "byte_end": 0}, {"file": "elsewhere", "detector": "x", "byte_start": 0, "byte_end": 2}]
+    (tmp_path / "f.json").write_text(json.dumps(items))
+    (tmp_path / "f.jsonl").write_text("\n".join(map(json.dumps, items)))
+    for name in ("f.json", "f.jsonl"):
+        found = P.read_findings_json(spark, str(tmp_path / name))
+        out = redact.redact_texts(spark, [str(one), str(two)], found)
+        assert {r.file_path: r.content for r in out.collect()} == {str(one): f"é [REDACTED] x\nsecond {AWS}\n", str(two): "clean"}
+    redact.write_redacted(out, str(tmp_path / "out"))
+    assert {r.name for r in spark.read.option("basePath", str(tmp_path / "out")).text(str(tmp_path / "out")).select("name").collect()} == {"one.txt", "two.txt"}
+    assert one.read_text().startswith(f"é {AWS}")
+
+
+def test_discovery_projects_and_errors(spark, tmp_path):
+    for name in (".claude/projects/p1/a.jsonl", ".claude/projects/p1/no.txt", ".config/Code/logs/1/GitHub Copilot Chat.log", ".config/Code/logs/1/other.log", "Downloads/Takeout/Gemini/MyActivity.json", ".config/claude/c.json", ".config/Cursor/User/workspaceStorage/w/state.vscdb", "Library/Application Support/Cursor/User/workspaceStorage/w/state.vscdb"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    got = [p[len(str(tmp_path)) + 1 :] for p, _ in P.discover(str(tmp_path), config=str(tmp_path / ".config"))]
+    assert got == [".claude/projects/p1/a.jsonl", ".config/Code/logs/1/GitHub Copilot Chat.log", ".config/Cursor/User/workspaceStorage/w/state.vscdb", ".config/claude/c.json", "Downloads/Takeout/Gemini/MyActivity.json", "Library/Application Support/Cursor/User/workspaceStorage/w/state.vscdb"]
+    (tmp_path / "proj" / ".git").mkdir(parents=True)
+    assert P.project_of(str(tmp_path / "proj" / "x" / "y")) == "proj"
+    df = spark.createDataFrame([("/h/.claude/projects/acct/x.jsonl",), ("/h/x",), (None,)], "p string")
+    assert [r.a for r in df.select(P.account_of(F.col("p")).alias("a")).collect()] == ["acct", None, None]
+    (tmp_path / "in").mkdir()
+    good = {"id": "g", "title": "t", "mapping": {"r": {"parent": None, "message": {"author": {"role": "user"}, "content": {"parts": ["x"]}}}}}
+    (tmp_path / "in" / "b.json").write_text(json.dumps([{**good, "mapping": {"r": {"parent": None, "message": {"author": "text"}}}}, good]))
+    (tmp_path / "in" / "a.jsonl").write_text('{"type": "user", "message": {"content": "hi"}}\n{cut\n')
+    (tmp_path / "in" / "cut.json").write_text('[{"title": 1, "mapping"')
+    assert {(r.source, r.content) for r in P.load_turns(spark, str(tmp_path / "in")).collect()} == {("chat_gpt", "x"), ("claude_code", "hi")}
+    assert {(r.file_path.rsplit("/", 1)[1], r.place) for r in P.read_errors(spark, str(tmp_path / "in")).collect()} == {("b.json", 1), ("a.jsonl", 2), ("cut.json", None)}
+    assert P.total_size(spark, [str(tmp_path / "in")]) == sum(f.stat().st_size for f in (tmp_path / "in").iterdir())
+    marks = str(tmp_path / "m.json")
+    assert [P.toggle_suppression(marks, x) for x in "aba"] == [True, True, False] and [r.fingerprint for r in P.load_suppressions(spark, marks).collect()] == ["b"]
+
+
+def test_rule_files_and_positives(spark, tmp_path):
+    from siftwright.sources import corpus
+
+    spec = {"id": "house_key", "name": "House", "severity": "high", "pattern": "HK-[0-9]{6}", "context_keywords": ["house"]}
+    (tmp_path / "r.json").write_text(json.dumps([spec]))
+    rules = R.load_rules(str(tmp_path / "r.json"))
+    got = D.detect(turns(spark, "house: HK-123456", "HK-123456" + "." * 150 + "house", "house" + "." * 300 + "HK-123456", "HK-123456", "house HK-1 HK-654321"), rules).where("detector_id = 'house_key'").collect()
+    assert {(r.turn_idx, r.matched_raw) for r in got} == {(0, "HK-123456"), (1, "HK-123456"), (4, "HK-654321")}
+    for bad in ({**spec, "colour": 1}, {**spec, "severity": "huge"}, {"id": "x"}, {**spec, "id": "jwt"}):
+        (tmp_path / "b.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            R.load_rules(str(tmp_path / "b.json"))
+    made = corpus.positives()
+    found = {(r.turn_idx, r.detector_id) for r in D.detect(turns(spark, *[t for _, t in made])).collect()}
+    assert {rid for rid, _ in made} == {r.id for r in R.RULES} and all((i, rid) in found for i, (rid, _) in enumerate(made))
+
+
+def test_files_and_throughput(spark):
+    from siftwright.streaming import scans
+
+    found = D.detect(turns(spark, f"{AWS} {PAT}", AWS))
+    (row,) = reports.by_file(found.where("detector_id IN ('aws_access_key_id', 'github_pat_classic')")).collect()
+    assert (row.high, row.findings, row.turns) == (3, 3, 2)
+    ticks = spark.sql("SELECT timestamp_seconds(id) AS at FROM range(25)")
+    assert [(r.turns, r.per_second) for r in scans.throughput(ticks, "at").orderBy("start").collect()] == [(10, 1.0), (10, 1.0), (5, 0.5)]
