@@ -39,32 +39,39 @@ _NUMBER = re.compile(rf"(?<![{_LATIN}@])(?:[A-Za-z]-?)?(?:\(?\+|\()?\d(?:[\d \u0
 # Kinds of streets and how they are written.
 _EN_STREET = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|close|crescent|cres|way|place|pl|boulevard|blvd|terrace|square|sq|row|hill|walk|mews)"
 _STREETS = (
-    (re.compile(r"\d [^\W\d_]"), re.compile(rf"(?:\b(?:flat|apt|unit|suite)\.? \d{{1,4}}[a-z]?, )?(?<![{_LATIN}])\d{{1,5}}[a-z]? (?:[\w'-]+ ){{1,4}}{_EN_STREET}(?![{_LATIN}])\.?(?:,? (?:apt|flat|unit|suite|#)\.? ?\d{{1,4}}[a-z]?)?", re.I)),
+    ((), re.compile(r"\d [^\W\d_]"), re.compile(rf"(?:\b(?:flat|apt|unit|suite)\.? \d{{1,4}}[a-z]?, )?(?<![{_LATIN}])\d{{1,5}}[a-z]? (?:[\w'-]+ ){{1,4}}{_EN_STREET}(?![{_LATIN}])\.?(?:,? (?:apt|flat|unit|suite|#)\.? ?\d{{1,4}}[a-z]?)?", re.I)),
     (
+        ("straße", "strasse", "str.", "weg", "allee", "gasse", "platz", "ring", "ufer", "damm", "steig", "hof", "chaussee"),
         re.compile(r"(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|ufer|damm|steig|hof|chaussee) ?\d", re.I),
         re.compile(rf"(?<![{_LATIN}])[{_LATIN}-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|ufer|damm|steig|hof|chaussee) ?\d{{1,4}} ?[a-z]?(?![{_LATIN}])(?:, \d{{5}} [{_LATIN}-]+)?", re.I),
     ),
     (
+        ("calle", "c/", "avda", "avenida", "paseo", "plaza", "pza", "camino", "ronda", "travesía", "carrera"),
         re.compile(r"\b(?:calle|c/|avda|avenida|paseo|plaza|pza|camino|ronda|travesía|carrera)", re.I),
         re.compile(rf"(?:\bcalle|\bc/|\bavda\.?|\bavenida|\bpaseo|\bplaza|\bpza\.?|\bcamino|\bronda|\btravesía|\bcarrera)(?: [{_LATIN}'-]+){{1,5}},? ?(?:n[ºo°.]* ?)?\d{{1,4}}(?![{_LATIN}])(?:\s?[-,]\s?\d{{5}} [{_LATIN}-]+)?", re.I),
     ),
     (
+        ("rue ", "avenue ", "boulevard ", "place ", "quai ", "impasse ", "allée ", "chemin ", "cours ", "route "),
         re.compile(r"\d(?: bis| ter)?,? (?:rue|avenue|boulevard|place|quai|impasse|allée|chemin|cours|route) ", re.I),
         re.compile(rf"(?<![{_LATIN}])\d{{1,4}}(?: bis| ter)?,? (?i:rue|avenue|boulevard|place|quai|impasse|allée|chemin|cours|route)(?: de| du| des| la| le)*(?: (?:d['’]|l['’])?[A-Z\u00c0-\u00de][{_LATIN}'’-]+){{1,3}}(?:,? \d{{5}} [{_LATIN}-]+)?"),
     ),
     (
+        ("via ", "viale ", "piazza ", "corso ", "rua ", "travessa ", "praça ", "ul. ", "ulica "),
         re.compile(r"\b(?:Via|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Tt]ravessa|[Pp]raça|ul\.|ulica) "),
         re.compile(rf"\b(?:Via|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Tt]ravessa|[Pp]raça|ul\.|ulica)(?: (?:d[aeio]l?l?[aeio]?|dos|das))?(?: [A-Z\u00c0-\u017d][a-z\u00df-\u024f][{_LATIN}'’-]*){{1,3}},? (?:n[º°.]* ?)?\d{{1,4}}[a-z]?(?![{_LATIN}])"),
     ),
     (
+        ("straat ", "laan ", "plein ", "gracht ", "kade ", "gatan ", "vägen ", "gade ", "vej "),
         re.compile(r"(?:straat|laan|plein|gracht|kade|gatan|vägen|gade|vej) \d", re.I),
         re.compile(rf"(?<![{_LATIN}])[A-Z][{_LATIN}-]*(?:straat|laan|plein|gracht|kade|gatan|vägen|gade|vej) \d{{1,4}} ?[a-z]?(?![{_LATIN}])"),
     ),
     (
+        ("ул.", "улица", "проспект", "пр-т", "переулок", "пер.", "набережная"),
         re.compile(r"(?:ул\.|улица|проспект|пр-т|переулок|пер\.|набережная)"),
         re.compile(r"(?:ул\.|улица|проспект|пр-т|переулок|пер\.|набережная) ?[А-ЯЁ][А-Яа-яё-]+(?: [А-ЯЁ][а-яё-]+)?,? ?(?:д\.|дом)? ?\d{1,4}[а-я]?(?:,? ?(?:кв\.|квартира) ?\d{1,4})?"),
     ),
     (
+        ("路", "街", "大道", "巷", "弄"),
         re.compile(r"(?:路|街|大道|巷|弄)\d"),
         re.compile(r"[\u4e00-\u9fff]{2,12}(?:路|街|大道|巷|弄)\d{1,5}[号號](?:[\u4e00-\u9fff\d]{1,8}[室楼])?"),
     ),
@@ -100,6 +107,11 @@ def fold(text: str) -> str:
     return text if text.isascii() else _MARKED.sub(lambda m: _FOLD[m.group()], text)
 
 
+def cued(left: str) -> bool:
+    """What stands before a span announces a name."""
+    return bool(_NAME_CUE.search(left)) and not _UNIT.search(left)
+
+
 def pairs(text: str):
     """(start, end, first name, surname, announced) of capitalised pairs; announced: right behind a word that announces a name."""
     at = 0
@@ -108,7 +120,7 @@ def pairs(text: str):
         left = text[max(0, m.start() - 24) : m.start()]
         first, last = m.group(1), _GLUED.split(m.group(3), maxsplit=1)[0]
         if first[0].isupper() and any(c.isupper() for c in last[:5]) and first.lower() not in _TITLES:
-            told = bool(_NAME_CUE.search(left)) and not _UNIT.search(left)
+            told = cued(left)
             if told:
                 at = m.start(3) + len(last)
             yield m.start(), m.start(3) + len(last), first, last, told
@@ -199,8 +211,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     if "@" in text or "%40" in text or "at]" in low or "at)" in low or "at ]" in low:
         take((m.span() for m in _EMAIL.finditer(text)), "email")
     if _DIGIT.search(text):
-        for gate, pattern in _STREETS:
-            if gate.search(text):
+        for some, gate, pattern in _STREETS:
+            if (not some or any(w in low for w in some)) and gate.search(text):
                 take((m.span() for m in pattern.finditer(text)), "address")
         take((m.span() for m in _NUMBER.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7 and not _DATE.match(m.group()) and not _IP.match(m.group())), "number")
     take(lexicon.names(text, low), "name")
@@ -257,7 +269,7 @@ def weak_label(text: str, a: int, b: int, shape: str, lexicon: Lexicon) -> str |
     first = (m.group("first") or m.group("first2") or "").lower() if m else ""
     if m and (m.group("last") or m.group("last2")).lower() in lexicon.common:
         return "none"  # the surname is an everyday word of the corpus
-    if first in lexicon.firsts or (_NAME_CUE.search(left) and span[:1].isupper()) or not span[:1].isascii():
+    if first in lexicon.firsts or (cued(left) and span[:1].isupper()) or not span[:1].isascii():
         return "name"
     if not m:
         return "none"  # a pair that neither its letters nor the words around it make a name; skip edges may
@@ -280,9 +292,9 @@ def features(text: str, a: int, b: int, shape: str, lexicon: Lexicon) -> list[in
     elif shape == "email":
         f += [f"tld={span.lower()[-4:]}", f"alpha={span[-1:].isalpha()}", f"local={span.lower()[:4]}", f"url={'://' in left}"]
     elif shape == "name":
-        words = _WORDS.findall(fold(span.lower()))
-        f += [f"first={w}" for w in words[:1]] + [f"last={w[-4:]}" for w in words[-1:]] + [ f"known={any(w in lexicon.firsts for w in words)}", f"end={bool(words) and words[-1][-4:] in lexicon.endings}", f"han={'一' <= span[:1] <= '鿿'}", f"start={not left.strip() or left.rstrip()[-1:] in '.!?:'}", f"cue={bool(_NAME_CUE.search(left))}", f"plain={any(w in lexicon.common for w in words)}"]
-        if not (_NAME_CUE.search(left) or "一" <= span[:1] <= "鿿" or any(w in lexicon.firsts for w in words) or (words and words[-1][-4:] in lexicon.endings)):
+        words, cue = _WORDS.findall(fold(span.lower())), cued(left)
+        f += [f"first={w}" for w in words[:1]] + [f"last={w[-4:]}" for w in words[-1:]] + [ f"known={any(w in lexicon.firsts for w in words)}", f"end={bool(words) and words[-1][-4:] in lexicon.endings}", f"han={'一' <= span[:1] <= '鿿'}", f"start={not left.strip() or left.rstrip()[-1:] in '.!?:'}", f"cue={cue}", f"plain={any(w in lexicon.common for w in words)}"]
+        if not (cue or "一" <= span[:1] <= "鿿" or any(w in lexicon.firsts for w in words) or (words and words[-1][-4:] in lexicon.endings)):
             f.append(BARE)
     return [zlib.crc32(x.encode()) % BUCKETS for x in f]
 
