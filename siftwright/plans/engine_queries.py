@@ -360,8 +360,8 @@ p AS (SELECT *, substr(content, a + 1, b - a) AS piece, coalesce(lag(b) OVER (PA
 """
     redacted = {
         f"redact_{m}": merged
-        + f"""t AS (SELECT *, {tag} AS tag FROM p),
-done AS (SELECT file_path, turn_idx, string_agg(substr(content, past + 1, a - past) || tag, '' ORDER BY a) || substr(any_value(content), max(b) + 1) AS content FROM t GROUP BY 1, 2)
+        + f"""tagged AS (SELECT *, {tag} AS tag FROM p),
+done AS (SELECT file_path, turn_idx, string_agg(substr(content, past + 1, a - past) || tag, '' ORDER BY a) || substr(any_value(content), max(b) + 1) AS content FROM tagged GROUP BY 1, 2)
 SELECT file_path, turn_idx, coalesce(d.content, o.content) AS content FROM planted o LEFT JOIN done d USING (file_path, turn_idx)"""
         for m, tag in tags.items()
     }
@@ -390,8 +390,8 @@ regexp_replace(right(pre, 30) || '[FP:' || fingerprint || ']' || left(post, 30),
         "cross_turn_findings": f"""WITH d AS (SELECT DISTINCT file_path, turn_idx, content, 'ghp_' || substr(repeat(md5(file_path || '/' || (turn_idx // 2)::VARCHAR), 2), 1, 36) AS token FROM turns WHERE content IS NOT NULL),
 u AS (SELECT file_path, turn_idx, CASE WHEN turn_idx % 2 = 0 THEN content || ' ' || left(token, 16) ELSE substr(token, 17) || ' ' || content END AS c FROM d),
 t AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY turn_idx) AS n,
-  left(c, list_max(list_filter(range(0, 129), k -> octet_length(encode(left(c, CAST(k AS INT)))) <= 128))) AS head,
-  right(c, list_max(list_filter(range(0, 129), k -> octet_length(encode(right(c, CAST(k AS INT)))) <= 128))) AS tail FROM u),
+  left(c, list_max(list_filter(range(0, 129), lambda k: octet_length(encode(left(c, CAST(k AS INT)))) <= 128))) AS head,
+  right(c, list_max(list_filter(range(0, 129), lambda k: octet_length(encode(right(c, CAST(k AS INT)))) <= 128))) AS tail FROM u),
 joined AS (SELECT b.file_path, b.turn_idx, a.turn_idx AS prev_turn, a.tail || b.head AS joined, octet_length(encode(a.tail)) AS border
   FROM t a JOIN t b ON a.file_path = b.file_path AND b.n - a.n BETWEEN 1 AND 3 WHERE octet_length(encode(a.tail)) >= 8 AND octet_length(encode(b.head)) >= 8),
 f AS ({_rules_sql('joined', 'joined', 'file_path, turn_idx, prev_turn, joined, border')}),
