@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftwright.session import materialise
 
+CAPACITY, WINDOW = 2048, 4  # tokens a container takes; room that an enumerated combination may leave
 BUCKETS = 256  # ranks are counted per length and bucket, so that a frequent length is no single group
 
 
@@ -152,7 +153,7 @@ def slots(strategies: list[tuple[int, list[int]]], capacity: int) -> tuple[dict,
     return {n: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for n, rows in table.items()}, base
 
 
-def pack(sizes: DataFrame, capacity: int = 2048, window: int = 0) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
     """Assign items to containers: (doc_id, piece_no, first_token, n_tokens, container_id).
 
     sizes: doc_id, n_tokens. An item larger than the capacity is cut into full

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwright.functions.scalars import byte_slice
 from siftwright.llm import conversations, history_index, packing, pii, splitting, subjects, tokenization
 from siftwright.session import read_table
 
@@ -16,6 +17,13 @@ def p1_found(spark, folder):
     return p1_pieces(spark, folder).where("n_pieces > 1").select("file_path", "turn_idx").distinct()
 
 
+def p1_whole(spark, folder):
+    """The pieces of each turn put together again, each without its overlap: the content."""
+    own = byte_slice(F.col("text"), F.col("overlap_bytes"))
+    parts = p1_pieces(spark, folder).groupBy("file_path", "turn_idx").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("parts"))
+    return parts.select("file_path", "turn_idx", F.array_join(F.transform("parts", lambda p: p["own"]), "").alias("content"))
+
+
 def p2_found(spark, folder):
     found = conversations.verdicts(read_table(spark, folder, "messages"))
     return found.where(F.col("verdict") != conversations.KEPT).select("conversation_id")
@@ -53,6 +61,13 @@ def p9_containers(spark, folder):
     return packing.pack(tokenization.token_counts(read_table(spark, folder, "documents")))
 
 
+def p9_documents(spark, folder):
+    """Every document, and whether one of its containers holds more than it may."""
+    packed = p9_containers(spark, folder)
+    fill = packed.groupBy("container_id").agg((F.sum("n_tokens") > packing.CAPACITY).alias("over"))
+    return packed.join(fill, "container_id").groupBy("doc_id").agg(F.max("over").alias("over"))
+
+
 def p10_found(spark, folder):
     return subjects.subjects_of(read_table(spark, folder, "documents"), read_table(spark, folder, "doc_labels"))
 
@@ -65,6 +80,7 @@ def queries():
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p1_whole": p1_whole,
         "p2_found": p2_found,
         "p2_conversations": p2_conversations,
         "p4_found": p4_found,
@@ -73,6 +89,7 @@ def queries():
         "p8_ids": p8_ids,
         "p8_texts": p8_texts,
         "p9_containers": p9_containers,
+        "p9_documents": p9_documents,
         "p10_found": p10_found,
         "p10_composition": p10_composition,
     }
@@ -139,6 +156,8 @@ SELECT conversation_id, position, node_id, {_ROLE.format('role')} AS role, conte
 def oracle_sql():
     return {
         "p1_found": "SELECT DISTINCT file_path, turn_idx FROM turns WHERE octet_length(encode(content)) > 4096",
+        "p1_whole": "SELECT DISTINCT file_path, turn_idx, content FROM turns WHERE octet_length(encode(content)) > 4096",
+        "p9_documents": "SELECT DISTINCT doc_id, false AS over FROM documents",
         "p2_found": _P2 + "SELECT conversation_id FROM dropped",
         "p2_conversations": _P2 + _P2_ORDER,
         "p8_texts": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents",
