@@ -56,6 +56,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read any more; others are left alone."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        own = run_dir(spark).split("://", 1)[-1].split(":", 1)[-1].lstrip("/")
+        folders = {f.rsplit("/", 1)[0] for f in files}
+        if len(folders) == 1 and own in (path := folders.pop()):
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
