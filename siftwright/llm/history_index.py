@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.session import fresh_path, materialise
+from siftwright.session import discard, fresh_path, materialise
 
 DIM, LINKS, EARLY, LANDMARKS = 64, 24, 8, 32
 SEGMENT_ROWS, CHUNK_ROWS = 20_000, 20_000
@@ -342,10 +342,21 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["route", "id"], kind="stable").reset_index(drop=True)
 
 
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    """The stored vectors; those of small routes, and of new rows, are made from the texts."""
+    stored = pdf["vector"].tolist() if "vector" in pdf else [None] * len(pdf)
+    x = np.zeros((len(pdf), DIM), np.float32)
+    have = np.array([v is not None for v in stored], bool)
+    if have.any():
+        x[have] = np.frombuffer(b"".join(v for v in stored if v is not None), np.float16).reshape(-1, DIM)
+    if not have.all():
+        x[~have] = embed(pdf["text"][~have].tolist()).astype(np.float16)
+    return x
+
+
 def _graph_of(base: pd.DataFrame) -> SmallWorld:
     """The graph of a shard's cell, or of whole routes of it, as stored."""
-    x = np.frombuffer(b"".join(base["vector"]), np.float16).reshape(len(base), DIM).astype(np.float32)
-    graph = SmallWorld(x, base["route"].to_numpy(), base["links"].tolist())
+    graph = SmallWorld(_vectors(base), base["route"].to_numpy(), base["links"].tolist())
     graph.beam, graph.recall = int(base["beam"].max()), float(base["recall"].min())
     return graph
 
@@ -369,16 +380,16 @@ class HistoryIndex:
         self.made = 0
 
     def _write(self, rows: DataFrame) -> Shard:
-        """Build a shard's graphs, one per cell, tune them, and store points with vectors, links, beam and recall."""
+        """Build a shard's graphs, one per cell, tune them, and store points with links, beam and recall, and with vectors in routes of more than LINKS + 1 rows (at most so many others are made anew where a batch touches a route)."""
         n, segments, hot = _layout(rows)
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = _sorted(pdf)
-            if "vector" not in pdf:
-                pdf["vector"] = [v.tobytes() for v in embed(pdf["text"].tolist()).astype(np.float16)]
-            x = np.frombuffer(b"".join(pdf["vector"]), np.float16).reshape(len(pdf), DIM).astype(np.float32)
+            x = _vectors(pdf)
             graph = SmallWorld(x, pdf["route"].to_numpy())
             graph.tune()
+            large = graph.size[graph.group] > LINKS + 1
+            pdf["vector"] = [v.tobytes() if big else None for v, big in zip(x.astype(np.float16), large, strict=True)]
             pdf["links"], pdf["beam"], pdf["recall"] = graph.stored_links(), graph.beam, graph.recall
             return pdf[[c.split()[0] for c in POINT.split(", ")]]
 
@@ -454,7 +465,7 @@ class HistoryIndex:
     def load(self, rows: DataFrame) -> DataFrame:
         """(id_b, id_a) of prepared rows (id, key, user, turn_idx, text), each id once; the others are accepted and indexed."""
         self.compact()
-        batch = materialise(routed(rows).drop("key"), "batch")
+        batch = whole = materialise(routed(rows).drop("key"), "batch")
         found = None
         if self.shards:
             found = materialise(self.lookup(batch), "repeats")
@@ -463,6 +474,7 @@ class HistoryIndex:
         linked = own.select(F.col("id_b").alias("id"))
         accepted = materialise(batch.where("held").select(*COLUMNS).join(linked, "id", "left_anti"), "accepted")
         self.shards.append(self._write(accepted))
+        discard(accepted, whole)
         # a row is a repeat if the first row it is like was accepted; else it is looked up again, among what was
         up = own.select(F.col("id_b").alias("id_a"))
         repeats = own.join(up, "id_a", "left_anti").select("id_b", "id_a")
@@ -483,6 +495,7 @@ class HistoryIndex:
             last, before = self.shards.pop(), self.shards.pop()
             rows = self.read(before).unionByName(self.read(last)).select(*COLUMNS, "vector")
             self.shards.append(self._write(rows))
+            discard(self.read(last), self.read(before))
 
 
 def _ingest(index: HistoryIndex, prepared: DataFrame, bounds: list[int]) -> tuple[DataFrame, DataFrame]:
