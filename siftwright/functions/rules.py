@@ -162,6 +162,14 @@ def needle(rule: Rule) -> str | None:
     return text if len(text) >= 3 and "|" not in rest.split("[")[0].split("(")[0] else None
 
 
+# What a text must hold for rules whose matches have no fixed beginning; tested once for all rules that share it.
+GATES = {"digits": "[0-9]{13}", "run": "[0-9A-Za-z]{15}", "aws": "(?i)aws", "word": "(?i)passw|secret|token|api", "hex": "0x", "region": "-us[0-9]"}
+GATED = {
+    "aws_secret_access_key": "aws", "credit_card_visa": "digits", "credit_card_mastercard": "digits", "credit_card_amex": "digits", "iban": "run",
+    "bitcoin_address": "run", "bitcoin_wif_private_key": "run", "ethereum_address": "hex", "generic_password_assignment": "word", "mailchimp_api_key": "region",
+}
+
+
 NEAR = 200  # characters within which a registered rule's context keyword must stand
 
 

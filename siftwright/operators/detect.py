@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwright.functions.rules import FAKE_MARKER, RULES, STOPWORDS, Rule, keywords, needle
+from siftwright.functions.rules import FAKE_MARKER, GATED, GATES, RULES, STOPWORDS, Rule, keywords, needle
 from siftwright.functions.scalars import byte_head, byte_tail, entropy, fingerprint, iban_ok, luhn, one_line
 from siftwright.operators.ordered import blocks, large_groups
 
@@ -70,17 +70,20 @@ def _armed(rule: Rule, text: Column, strict: bool) -> Column | None:
 def matches(df: DataFrame, text: str = "content", rules: list[Rule] = RULES, strict_keywords: bool = True) -> DataFrame:
     """df without its text, with rule_ord, nth, raw, byte_start, byte_end, before and after for every match of every armed rule, before validation.
 
-    All patterns run as JVM expressions behind a cheap test for a keyword or
-    the match's first characters. Splitting the text at the matches gives the
+    All patterns run as JVM expressions behind a cheap test for a keyword, the
+    match's first characters, or what a text with matches must hold. Splitting the text at the matches gives the
     pieces between them, whose summed lengths in bytes place each match. before
     and after are the 30 characters on either side; the text itself does not
     go along with the matches.
     """
     t = F.col(text)
+    gates = sorted({GATED[r.id] for r in rules if r.id in GATED})
+    rest = [c for c in df.columns if c != text]
+    df = df.withColumns({f"__{g}": t.rlike(GATES[g]) for g in gates})
     hits = []
     for i, rule in enumerate(rules):
         test = t.rlike(rule.pattern)
-        arm = _armed(rule, t, strict_keywords)
+        arm = F.col(f"__{GATED[rule.id]}") if rule.id in GATED else _armed(rule, t, strict_keywords)
         p = F.lit(rule.pattern)
         hit = F.struct(
             F.lit(i).alias("rule_ord"),
@@ -98,7 +101,6 @@ def matches(df: DataFrame, text: str = "content", rules: list[Rule] = RULES, str
     left = lambda at: F.right(F.substr(data, F.greatest(at - 123, F.lit(1)).cast("int"), F.least(at, F.lit(124)).cast("int")).cast("string"), F.lit(30))
     right = lambda at: F.left(F.substr(data, (at + 1).cast("int"), F.lit(124)).cast("string"), F.lit(30))
     each = F.zip_with("__hit.raws", ends, lambda r, e: F.struct(r.alias("raw"), e.alias("byte_end"), left(e - F.octet_length(r)).alias("before"), right(e).alias("after")))
-    rest = [c for c in df.columns if c != text]
     placed = found.select(*rest, F.col("__hit.rule_ord").alias("rule_ord"), F.posexplode(each).alias("nth", "m"))
     return placed.select(*rest, "rule_ord", "nth", "m.raw", (F.col("m.byte_end") - F.octet_length("m.raw")).alias("byte_start"), "m.byte_end", "m.before", "m.after")
 
