@@ -131,3 +131,20 @@ def test_subjects(spark):
     right = sum(got.get(i, set()) == w for i, w in want.items())
     assert right >= 0.95 * len(want) and not {900, 901} & set(got)
     assert subjects.subjects_of(spark.createDataFrame([], schema), spark.createDataFrame([], "doc_id long, subject string")).count() == 0
+
+
+def test_similarity_graph_is_verified_and_symmetric(spark, monkeypatch):
+    """Each edge has the exact Jaccard similarity of the whole profiles; hot terms cut into ranges give edges too; labels of seeds stay."""
+    rng = random.Random(3)
+    docs = [(i, "en", rng.sample(range(100 * (i % 3), 100 * (i % 3) + 30), 12) + [7777]) for i in range(90)] + [(900, "de", [1, 2]), (901, "en", [])]
+    held = spark.createDataFrame(docs, "doc_id long, lang string, terms array<long>")
+    for group in (2000, 10):
+        monkeypatch.setattr(subjects, "GROUP", group)
+        edges = {(r.a, r.b): r.sim for r in subjects.similarity_graph(held, 0.5).collect()}
+        own = {i: set(t) - {7777} for i, _, t in docs}
+        assert len(edges) > 90 and all(edges[b, a] == s for (a, b), s in edges.items())
+        assert all(a % 3 == b % 3 and abs(s - len(own[a] & own[b]) / len(own[a] | own[b])) < 1e-4 for (a, b), s in edges.items())
+    labels = spark.createDataFrame([(i, f"s{i % 3}") for i in range(12)] + [(5000, "s1")], "doc_id long, subject string")
+    state, clamped = subjects.propagate(held, labels)
+    top = {r.doc_id: r.subject for r in state.where("n > 0.5").collect()}
+    assert all(top[i] == f"s{i % 3}" for i in range(90)) and {(r.doc_id, r.subject) for r in clamped.collect()} >= {(i, f"s{i % 3}") for i in range(12)}
