@@ -148,3 +148,34 @@ def test_similarity_graph_is_verified_and_symmetric(spark, monkeypatch):
     state, clamped = subjects.propagate(held, labels)
     top = {r.doc_id: r.subject for r in state.where("n > 0.5").collect()}
     assert all(top[i] == f"s{i % 3}" for i in range(90)) and {(r.doc_id, r.subject) for r in clamped.collect()} >= {(i, f"s{i % 3}") for i in range(12)}
+
+
+def test_similarity_graph_holds_every_pair(spark, monkeypatch):
+    """All pairs that are alike are edges, also many under hot terms, those with one term in common, and across blocks; labels move over all of them."""
+    rng = random.Random(4)
+    docs = [(i, "en", [*rng.sample(range(40), 14), 7777]) for i in range(120)] + [(500 + i, "de", [i // 2, 50 + i // 3]) for i in range(12)] + [(900, "en", [])]
+    held = spark.createDataFrame(docs, "doc_id long, lang string, terms array<long>")
+    df = {}
+    for _, lang, terms in docs:
+        for t in terms:
+            df[lang, t] = df.get((lang, t), 0) + 1
+    own = {i: {(lang, t) for t in terms if 2 <= df[lang, t] <= max(2, 0.5 * sum(x[1] == lang for x in docs))} for i, lang, terms in docs}
+    alike = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a != b and own[a] & own[b]}
+    want = {k: s for k, s in alike.items() if s >= subjects.ALIKE}
+    assert len(want) > 13_000 and any(len(own[a] & own[b]) == 1 for a, b in want)
+    said = {i: ("x" if i % 2 else "y", 0.25 + i % 3 / 4) for i in own if i % 5 < 2}
+    state = spark.createDataFrame([(i, s, n) for i, (s, n) in said.items()], "doc_id long, subject string, n double")
+    sums = {}
+    for (a, b), s in want.items():
+        if b in said:
+            sums[a, said[b][0]] = sums.get((a, said[b][0]), 0) + round(s, 4) ** 2 * said[b][1]
+    for group in (2000, 50, 2):
+        monkeypatch.setattr(subjects, "GROUP", group)
+        got = [(r.a, r.b, r.sim) for r in subjects.similarity_graph(held, 0.5).collect()]
+        assert len(got) == len(want) and all(abs(want[a, b] - s) < 1e-4 for a, b, s in got)
+        if group < 2000:
+            heard = {(r.doc_id, r.subject): r.n for r in subjects._neighbours(subjects.profiles(held, 0.5), state).collect()}
+            whole = {}
+            for (a, _), k in sums.items():
+                whole[a] = whole.get(a, 0) + k * k
+            assert heard.keys() == sums.keys() and all(abs(n - sums[k] ** 2 / whole[k[0]]) < 1e-3 for k, n in heard.items())
